@@ -43,7 +43,7 @@ OF_WORDS = ("of", "von", "sur", "de", "di", "van", "из")
 _TABLE = str.maketrans(GLYPHS)
 _WORD = re.compile(r"[^\W_][\w+|!]*(?:['’-][^\W_][\w+|!]*)*")
 _CUT = re.compile(r"([^\W\d_]*[\w+|!]*[^\W\d_])([-‐¬\xad])[ \t]*\n((?:[^\n]{0,12}\n)?)([^\W_][\w+|!]*)")
-_PAGE_LINE = re.compile(rf"[\s\-–—~\[\](|.]*(?:(?:{'|'.join(PAGE_WORDS)})\b\.?\s*)?(\d+|[lIO]\d*)(?:\s*(?:/|{'|'.join(OF_WORDS)})\s*\d+)?[\s\-–—~\[\])|.]*", re.I)
+_PAGE_LINE = re.compile(rf"[\s\-–—~\[\](|.]*(?:(?:{'|'.join(PAGE_WORDS)})\b\.?\s*)?(\d+|[lIO]\d*|[ivxlc]+)(?:\s*(?:/|{'|'.join(OF_WORDS)})\s*(?:\d+|[ivxlc]+))?[\s\-–—~\[\])|.]*", re.I)
 _FIGURE = re.compile(rf"(?:[$€£]|EUR|USD|GBP)? ?[\d{FIGURE_LETTERS}]+(?:[.,][\d{FIGURE_LETTERS}]+)*(?: ?(?:kg|€|%))?")
 _FIGURE_IN_TEXT = re.compile(rf"(?<![\w.,/+@-])(?=[\d{FIGURE_LETTERS}.]*\d)(?=[\d.]*[{FIGURE_LETTERS}])[\d{FIGURE_LETTERS}]+[.,][\d{FIGURE_LETTERS}]+(?= ?kg\b)")
 _END = re.compile(r"[.!?:;…][\"'»”)\]]*\s*$")
@@ -158,7 +158,15 @@ def page_line(line: str, page: int | None) -> bool:
     if page is None or len(line) > 24 or not line.strip():
         return False
     m = _PAGE_LINE.fullmatch(line.strip())
-    return bool(m) and m[1].translate(str.maketrans("lIO", "110")) == str(page)
+    return bool(m) and (m[1].translate(str.maketrans("lIO", "110")) == str(page) or m[1].lower() == roman(page))
+
+
+def roman(n: int) -> str:
+    """A number in small Roman figures."""
+    out = ""
+    for value, sign in ((1000, "m"), (900, "cm"), (500, "d"), (400, "cd"), (100, "c"), (90, "xc"), (50, "l"), (40, "xl"), (10, "x"), (9, "ix"), (5, "v"), (4, "iv"), (1, "i")):
+        out, n = out + sign * (n // value), n % value
+    return out
 
 
 def head_parts(line: str, page: int | None) -> tuple[str, bool]:
@@ -174,8 +182,11 @@ def head_parts(line: str, page: int | None) -> tuple[str, bool]:
 
 def head_key(line: str) -> str:
     """A head's key: letters folded by glyph, digits masked, nothing else."""
-    k = skeleton(fold(re.sub(r"\d", "9", "".join(c for c in line if c.isalnum() or c in "+|"))))
-    return k
+    words = []
+    for w in re.findall(r"[^\W_][\w+|]*", line):
+        figures = sum(c.isdigit() for c in w)
+        words.append(re.sub(r"\d+", "9", w.lower()) if figures and len(w) < 3 * figures and len(w) < 6 else skeleton(fold(w)))
+    return "".join(words)
 
 
 def head_keys(line: str) -> list[str]:
@@ -185,6 +196,20 @@ def head_keys(line: str) -> list[str]:
     return [k for k in dict.fromkeys(keys) if len(k) >= 4]
 
 
+def over_break(text: str, page: int | None, lex: Lexicon) -> bool:
+    """Whether a word is cut by a page end within the text: a page number, a head or both stand between its parts."""
+    lines = text.split("\n")
+    for i, line in enumerate(lines[:-2]):
+        m = re.search(r"([^\W_]+)([-‐¬\xad])\s*$", line)
+        if m:
+            for j in (i + 2, i + 3):
+                r = re.match(r"[^\W_]+", lines[j]) if j < len(lines) else None
+                between = all(page_line(x, page) or x[:1].isupper() or x[:1].isdigit() for x in lines[i + 1 : j])
+                if r and between and fold(m[1] + r[0]) in lex.counts and lex.cut(m[1], m[2], r[0]):
+                    return True
+    return False
+
+
 _HEAD = pa.struct([("line", pa.int32()), ("key", pa.string()), ("page", pa.int32()), ("numbered", pa.bool_())])
 _NOTE = pa.schema(
     [
@@ -217,6 +242,7 @@ def annotate_batch(b: pa.RecordBatch, lex: Lexicon) -> pa.RecordBatch:
                     return m[1] + m[4]
                 return m[0]
             flat = _CUT.sub(join, text)
+            hyphen = hyphen or over_break(text, page, lex)
         words = set(_WORD.findall(flat))
         for w in words - ok - bad:
             (bad if any(lex.reading(x) for x in re.split("['’-]", w)) else ok).add(w)
@@ -312,7 +338,12 @@ def structure(notes: DataFrame, words: list[tuple[str, int]]) -> tuple[DataFrame
     inner = blocks.where("exists(heads, h -> h.line > 0)").select("scan_id", "row_id", F.lit(False).alias("one_line"), F.inline(F.filter("heads", lambda h: h["line"] > 0)))
     printed = top.unionByName(inner)
     keys = printed.select("scan_id", "key", "page").distinct().groupBy("scan_id", "key").agg(F.count("*").alias("n")).where("n >= 2")
-    head = printed.join(keys, ["scan_id", "key"]).groupBy("scan_id", "row_id", "line", "page", "one_line").agg(F.max("numbered").alias("numbered"))
+    sure = printed.join(keys, ["scan_id", "key"], "left_semi")
+    # a head whose other pages are lost: its key is a head elsewhere more often than anything else
+    seen = blocks.select(F.inline(F.filter("heads", lambda h: h["line"] == 0))).groupBy("key").agg(F.count("*").alias("all"))
+    usual = sure.where("line = 0").groupBy("key").agg(F.count("*").alias("n")).join(seen, "key").where("n >= 3 and n >= 0.5 * all").select("key")
+    single = top.join(usual, "key", "left_semi").select(printed.columns)
+    head = sure.unionByName(single).groupBy("scan_id", "row_id", "line", "page", "one_line").agg(F.max("numbered").alias("numbered"))
     whole = head.where("one_line and line = 0").select("row_id").distinct()
     led = head.where("line = 0").select("row_id", F.lit(True).alias("_led")).distinct()
 
