@@ -4,10 +4,20 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from scriptorium.llm import noise
+from scriptorium.llm import noise, pii
 from scriptorium.sources import table
 
 
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    """Personal information by text, kind and number."""
+    return pii.find(table(spark, d, "block"), table(spark, d, "cell"), table(spark, d, "key_value"), table(spark, d, "form_attr"))
+
+
+def p2_masked(spark: SparkSession, d: str) -> DataFrame:
+    """All texts with typed placeholders."""
+    return pii.mask(table(spark, d, "block"), table(spark, d, "cell"), table(spark, d, "key_value"), table(spark, d, "form_attr"))
+
+
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     """Noise of scanned pages by text and kind."""
     return noise.find(table(spark, d, "block"), table(spark, d, "cell"))
@@ -18,5 +28,5 @@ def p4_repaired(spark: SparkSession, d: str) -> DataFrame:
     return noise.repair(table(spark, d, "block"), table(spark, d, "cell"))
 
 
-QUERIES = {"p4_found": p4_found, "p4_repaired": p4_repaired}
+QUERIES = {"p2_found": p2_found, "p2_masked": p2_masked, "p4_found": p4_found, "p4_repaired": p4_repaired}
 ORACLES: dict[str, str] = {}
