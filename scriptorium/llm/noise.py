@@ -42,7 +42,9 @@ OF_WORDS = ("of", "von", "sur", "de", "di", "van", "из")
 
 _TABLE = str.maketrans(GLYPHS)
 _WORD = re.compile(r"[^\W_][\w+|!]*(?:['’-][^\W_][\w+|!]*)*")
-_CUT = re.compile(r"([^\W\d_]*[\w+|!]*[^\W\d_])([-‐¬\xad])[ \t]*\n((?:[^\n]{0,12}\n)?)([^\W_][\w+|!]*)")
+_MARK = re.compile(r"([-‐¬\xad])[ \t]*\n")
+_LEFT = re.compile(r"[^\W_][\w+|!]*$")
+_RIGHT = re.compile(r"[^\W_][\w+|!]*")
 _PAGE_LINE = re.compile(rf"[\s\-–—~\[\](|.]*(?:(?:{'|'.join(PAGE_WORDS)})\b\.?\s*)?(\d+|[lIO]\d*|[ivxlc]+)(?:\s*(?:/|{'|'.join(OF_WORDS)})\s*(?:\d+|[ivxlc]+))?[\s\-–—~\[\])|.]*", re.I)
 _FIGURE = re.compile(rf"(?:[$€£]|EUR|USD|GBP)? ?[\d{FIGURE_LETTERS}]+(?:[.,][\d{FIGURE_LETTERS}]+)*(?: ?(?:kg|€|%))?")
 _FIGURE_IN_TEXT = re.compile(rf"(?<![\w.,/+@-])(?=[\d{FIGURE_LETTERS}.]*\d)(?=[\d.]*[{FIGURE_LETTERS}])[\d{FIGURE_LETTERS}]+[.,][\d{FIGURE_LETTERS}]+(?= ?kg\b)")
@@ -196,6 +198,22 @@ def head_keys(line: str) -> list[str]:
     return [k for k in dict.fromkeys(keys) if len(k) >= 4]
 
 
+def joined(text: str, page: int | None, lex: Lexicon) -> str:
+    """The text with its cut words joined, also over one line that is the page's number."""
+    out, at = [], 0
+    for m in _MARK.finditer(text):
+        left = _LEFT.search(text[max(0, m.start() - 40) : m.start()])
+        right = _RIGHT.match(text, m.end())
+        if left and not (right and lex.cut(left[0], m[1], right[0])):
+            line, _, _ = text[m.end() :].partition("\n")
+            right = _RIGHT.match(text, m.end() + len(line) + 1) if len(line) <= 12 and page_line(line, page) else None
+            right = right if right and lex.cut(left[0], m[1], right[0]) else None
+        if left and right:
+            out.append(text[at : m.start()])
+            at = right.start()
+    return text if not out else "".join(out) + text[at:]
+
+
 def over_break(text: str, page: int | None, lex: Lexicon) -> bool:
     """Whether a word is cut by a page end within the text: a page number, a head or both stand between its parts."""
     lines = text.split("\n")
@@ -233,16 +251,9 @@ def annotate_batch(b: pa.RecordBatch, lex: Lexicon) -> pa.RecordBatch:
     bad: set[str] = lex.__dict__.setdefault("bad", set())
     for src, row_id, item_pos, text, scan, page, pos, kind in zip(*cols):
         flat, hyphen = text, False
-        if "\n" in text and ("-\n" in text or "- " in text or "‐" in text or "¬" in text or "\xad" in text):
-            def join(m: re.Match) -> str:
-                nonlocal hyphen
-                left = re.search(r"[^\W_]*$", m[1])[0]
-                if (not m[3] or page_line(m[3], page)) and lex.cut(left, m[2], m[4]):
-                    hyphen = True
-                    return m[1] + m[4]
-                return m[0]
-            flat = _CUT.sub(join, text)
-            hyphen = hyphen or over_break(text, page, lex)
+        if "\n" in text and _MARK.search(text):
+            flat = joined(text, page, lex)
+            hyphen = len(flat) < len(text) or over_break(text, page, lex)
         words = set(_WORD.findall(flat))
         for w in words - ok - bad:
             (bad if any(lex.reading(x) for x in re.split("['’-]", w)) else ok).add(w)
@@ -259,19 +270,23 @@ def annotate_batch(b: pa.RecordBatch, lex: Lexicon) -> pa.RecordBatch:
         if src == "block" and page is not None and kind in ("paragraph", "heading"):
             lines = text.split("\n")
             one = len(lines) == 1
-            at = [i for i, line in enumerate(lines) if page_line(line, page)] if kind == "paragraph" else []
+            at = [i for i, line in enumerate(lines) if len(line) <= 24 and page_line(line, page)] if kind == "paragraph" else []
             page_no = bool(at)
-            rest = [i for i in range(len(lines)) if i not in at]
+            rest = [i for i in range(len(lines)) if i not in at] if at else range(len(lines))
             body = bool(rest) and bool(text.strip())
             found = []
             if rest:
-                width = max(len(x) for x in lines)
+                width = 0
                 for i in rest:
                     line = lines[i]
-                    s = line.lstrip()
-                    broken = i + 1 < len(lines) and len(line) + 1 + len(lines[i + 1].split(" ", 1)[0]) <= width
-                    inner = i > 0 and s[:1].isupper() and (i - 1 in at or ((broken or len(line) == width) and "." not in s))
-                    if (i == 0 or inner) and len(s) <= 120:
+                    if i > 0 and not line[:1].isupper() or i == 0 and pos and kind == "paragraph" and not one or len(line) > 120:
+                        continue
+                    inner = False
+                    if i > 0:
+                        width = width or max(map(len, lines))
+                        broken = i + 1 < len(lines) and len(line) + 1 + len(lines[i + 1].split(" ", 1)[0]) <= width
+                        inner = i - 1 in at or ((broken or len(line) == width) and "." not in line)
+                    if i == 0 or inner:
                         p = page + 1 if inner else page
                         bare, numbered = head_parts(line, p)
                         if len(bare) >= 4 and not _END.search(bare):
@@ -325,6 +340,8 @@ def structure(notes: DataFrame, words: list[tuple[str, int]]) -> tuple[DataFrame
     """
     from pyspark.sql import Window as W
 
+    from scriptorium.session import checkpoint
+
     blocks = notes.where("src = 'block' and scan_id is not null and page_number is not null")
     page = W.partitionBy("scan_id", "page_number")
     ends = (
@@ -334,6 +351,7 @@ def structure(notes: DataFrame, words: list[tuple[str, int]]) -> tuple[DataFrame
         .where("_first <= 2 or _last = 1")
         .select("scan_id", "page_number", "row_id", "type", "heads", "open", "tail", "start", "one_line", "_first", "_last")
     )
+    ends = checkpoint(ends)
     top = ends.where("_first = 1 and page_number > 1").select("scan_id", "row_id", "one_line", F.inline(F.filter("heads", lambda h: h["line"] == 0)))
     inner = blocks.where("exists(heads, h -> h.line > 0)").select("scan_id", "row_id", F.lit(False).alias("one_line"), F.inline(F.filter("heads", lambda h: h["line"] > 0)))
     printed = top.unionByName(inner)
@@ -344,6 +362,7 @@ def structure(notes: DataFrame, words: list[tuple[str, int]]) -> tuple[DataFrame
     usual = sure.where("line = 0").groupBy("key").agg(F.count("*").alias("n")).join(seen, "key").where("n >= 3 and n >= 0.5 * all").select("key")
     single = top.join(usual, "key", "left_semi").select(printed.columns)
     head = sure.unionByName(single).groupBy("scan_id", "row_id", "line", "page", "one_line").agg(F.max("numbered").alias("numbered"))
+    head = checkpoint(head)
     whole = head.where("one_line and line = 0").select("row_id").distinct()
     led = head.where("line = 0").select("row_id", F.lit(True).alias("_led")).distinct()
 
@@ -395,10 +414,6 @@ def repair_text(text: str, lex: Lexicon, page: int | None, head_lines: list[int]
     lines = text.split("\n")
     keep = [x for i, x in enumerate(lines) if i not in head_lines and not (paragraph and page_line(x, page))]
 
-    def join(m: re.Match) -> str:
-        left = re.search(r"[^\W_]*$", m[1])[0]
-        return m[1] + m[4] if not m[3] and lex.cut(left, m[2], m[4]) else m[1] + m[2] + m[4]
-
     def word(m: re.Match) -> str:
         w = m[0]
         main = lex.reading(w)
@@ -406,7 +421,7 @@ def repair_text(text: str, lex: Lexicon, page: int | None, head_lines: list[int]
             return w
         return main.upper() if w.isupper() and len(w) > 1 else main.capitalize() if w[0].isupper() else main
 
-    flat = _CUT.sub(join, "\n".join(keep))
+    flat = joined("\n".join(keep), None, lex)
     return re.sub(r"\s+", " ", re.sub(r"[^\W_][\w+|!]*", word, flat)).strip()
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from scriptorium.llm import noise, pii
+from scriptorium.llm import noise, pii, toxic
 from scriptorium.sources import table
 
 
@@ -28,5 +28,15 @@ def p4_repaired(spark: SparkSession, d: str) -> DataFrame:
     return noise.repair(table(spark, d, "block"), table(spark, d, "cell"))
 
 
-QUERIES = {"p2_found": p2_found, "p2_masked": p2_masked, "p4_found": p4_found, "p4_repaired": p4_repaired}
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    """Documents with a toxic passage."""
+    return toxic.found(table(spark, d, "documents"), table(spark, d, "mod_sample"))
+
+
+def p8_rates(spark: SparkSession, d: str) -> DataFrame:
+    """Rate of toxic documents by source."""
+    return toxic.rates(table(spark, d, "documents"), table(spark, d, "mod_sample"))
+
+
+QUERIES = {"p8_found": p8_found, "p8_rates": p8_rates, "p2_found": p2_found, "p2_masked": p2_masked, "p4_found": p4_found, "p4_repaired": p4_repaired}
 ORACLES: dict[str, str] = {}
