@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from scriptorium.llm import noise, pii, toxic
+from scriptorium.llm import lang, noise, pii, toxic
 from scriptorium.sources import table
 
 
@@ -28,6 +28,16 @@ def p4_repaired(spark: SparkSession, d: str) -> DataFrame:
     return noise.repair(table(spark, d, "block"), table(spark, d, "cell"))
 
 
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    """Scans with a missing or wrong label, and blocks with foreign sentences."""
+    return lang.find(table(spark, d, "scan"), table(spark, d, "block"))
+
+
+def p5_labels(spark: SparkSession, d: str) -> DataFrame:
+    """Language and confidence of every scan and foreign passage."""
+    return lang.labels(table(spark, d, "scan"), table(spark, d, "block"))
+
+
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
     """Documents with a toxic passage."""
     return toxic.found(table(spark, d, "documents"), table(spark, d, "mod_sample"))
@@ -38,5 +48,5 @@ def p8_rates(spark: SparkSession, d: str) -> DataFrame:
     return toxic.rates(table(spark, d, "documents"), table(spark, d, "mod_sample"))
 
 
-QUERIES = {"p8_found": p8_found, "p8_rates": p8_rates, "p2_found": p2_found, "p2_masked": p2_masked, "p4_found": p4_found, "p4_repaired": p4_repaired}
+QUERIES = {"p5_found": p5_found, "p5_labels": p5_labels, "p8_found": p8_found, "p8_rates": p8_rates, "p2_found": p2_found, "p2_masked": p2_masked, "p4_found": p4_found, "p4_repaired": p4_repaired}
 ORACLES: dict[str, str] = {}
