@@ -50,6 +50,7 @@ LABELS = {
     "ru": "ru rus russian русский russisch russe ruso russo",
 }
 
+_ADDRESS = re.compile(r"\S+ ?(?:@|\[at\]|\(at\)) ?\S+(?:\s?(?:\.|\[dot\])\s?[\w-]+)*")
 _CYRILLIC = re.compile("[а-яё]")
 _END = re.compile(r"(?<=[.!?])[\"'»”)]*\s+(?=[^\W\d_a-zß-öø-ÿа-я]|[¿¡\"«(])")
 _CUT = re.compile(r"(?<=[^\W\d_])[-‐¬\xad][ \t]*\n(?=[^\W\d_])")
@@ -75,7 +76,7 @@ def sentences(text: str | None) -> list[tuple[str, bool]]:
 
 def scored(sentence: str) -> tuple[str, int]:
     """The scored words of a sentence as ' a b c ', and their number."""
-    words = _WORD.findall(sentence)
+    words = _WORD.findall(_ADDRESS.sub(" ", sentence) if "@" in sentence or "at]" in sentence or "(at)" in sentence else sentence)
     kept = [w.lower() for i, w in enumerate(words) if i == 0 or w[0].islower()]
     return f" {' '.join(kept)} ", sum(1 for i, w in enumerate(words) if w[0].islower() and len(w) > 1)
 
@@ -179,7 +180,7 @@ class Models:
             rows.append((float(e[o[1]] - e[o[0]]), LANGS[o[0]] == lang, len(text), float(e[o[0]])))
         rows.sort(reverse=True)
         self.passage = rows[int(PASSAGE * (len(rows) - 1))][0] if rows else 0.0
-        self.most = 1.25 * sorted(r[3] for r in rows)[int(0.995 * (len(rows) - 1))] if rows else 99.0
+        self.most = 1.25 * sorted(r[3] for r in rows)[int(0.98 * (len(rows) - 1))] if rows else 99.0
         right, self.lead = 0, rows[0][0] if rows else 0.0
         for i, (lead, ok, *_) in enumerate(rows, 1):
             right += ok

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from scriptorium.llm import lang, noise, pii, toxic
+from scriptorium.llm import lang, mix, noise, pack, pii, toxic
 from scriptorium.sources import table
 
 
@@ -38,6 +38,27 @@ def p5_labels(spark: SparkSession, d: str) -> DataFrame:
     return lang.labels(table(spark, d, "scan"), table(spark, d, "block"))
 
 
+def p6_packed(spark: SparkSession, d: str) -> DataFrame:
+    """The pieces of texts in the containers of each capacity."""
+    return pack.pack(table(spark, d, "documents"), table(spark, d, "pack_spec"))
+
+
+def p6_report(spark: SparkSession, d: str) -> DataFrame:
+    """How full the containers are."""
+    specs = table(spark, d, "pack_spec")
+    return pack.report(pack.pack(table(spark, d, "documents"), specs), specs)
+
+
+def p7_mixed(spark: SparkSession, d: str) -> DataFrame:
+    """The records drawn for each mix."""
+    return mix.mix(table(spark, d, "documents"), table(spark, d, "mix_target"))
+
+
+def p7_shares(spark: SparkSession, d: str) -> DataFrame:
+    """Target and reached share of each source in each mix."""
+    return mix.shares(table(spark, d, "documents"), table(spark, d, "mix_target"))
+
+
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
     """Documents with a toxic passage."""
     return toxic.found(table(spark, d, "documents"), table(spark, d, "mod_sample"))
@@ -48,5 +69,5 @@ def p8_rates(spark: SparkSession, d: str) -> DataFrame:
     return toxic.rates(table(spark, d, "documents"), table(spark, d, "mod_sample"))
 
 
-QUERIES = {"p5_found": p5_found, "p5_labels": p5_labels, "p8_found": p8_found, "p8_rates": p8_rates, "p2_found": p2_found, "p2_masked": p2_masked, "p4_found": p4_found, "p4_repaired": p4_repaired}
+QUERIES = {"p6_packed": p6_packed, "p6_report": p6_report, "p7_mixed": p7_mixed, "p7_shares": p7_shares, "p5_found": p5_found, "p5_labels": p5_labels, "p8_found": p8_found, "p8_rates": p8_rates, "p2_found": p2_found, "p2_masked": p2_masked, "p4_found": p4_found, "p4_repaired": p4_repaired}
 ORACLES: dict[str, str] = {}
