@@ -1,18 +1,46 @@
-"""Registered queries of the core and their SQL."""
+"""Registered queries of the core and, where SQL can express them, the same in SQL."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from scriptorium.operators import eav, flatten
+from scriptorium.functions import text as T
+from scriptorium.operators import eav, flatten, geometry, history, layout, model, quality
+from scriptorium.plans import views as V
 from scriptorium.sources import table
 
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLES: dict[str, str] = {}
+
+
+def query(sql: str | None = None) -> Callable:
+    """Register a query under its function's name, with its SQL."""
+
+    def add(f: Callable[[SparkSession, str], DataFrame]) -> Callable:
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return add
 
+
+@query()
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
     """Every non-null page, block, cell and pair of the documents, by position."""
     return flatten.flatten(table(spark, d, "extraction"), fields=False)
 
 
+@query()
+def p1_flat(spark: SparkSession, d: str) -> DataFrame:
+    """The same with the fields of each element."""
+    return flatten.flatten(table(spark, d, "extraction"))
+
+
+@query()
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     """The value of each form's attributes, read back from the wide table."""
     attrs = table(spark, d, "form_attr")
@@ -20,13 +48,528 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return eav.found(wide, [r.attr for r in attrs.select("attr").collect()])
 
 
+@query()
 def p3_wide(spark: SparkSession, d: str) -> DataFrame:
     """One typed row per form; cast failures as JSON text."""
-    from pyspark.sql import functions as F
-
     wide = eav.pivot(table(spark, d, "key_value"), table(spark, d, "form_attr"), table(spark, d, "scan"))
     return wide.withColumn("failed", F.to_json(F.map_from_entries(F.array_sort(F.map_entries("failed")))))
 
 
-QUERIES = {"p1_found": p1_found, "p3_found": p3_found, "p3_wide": p3_wide}
-ORACLES: dict[str, str] = {}
+NUM = T.NUMBER
+_STRIP = r"regexp_replace({0}, '^\s+|\s+$', '', 'g')"
+
+
+@query(rf"""
+WITH c AS (SELECT cell_id, {_STRIP.format("text")} AS s FROM cell WHERE text IS NOT NULL),
+p AS (SELECT cell_id, s, regexp_extract(s, '{NUM}', 1) AS cur, regexp_extract(s, '{NUM}', 2) AS neg, regexp_extract(s, '{NUM}', 3) AS whole,
+  regexp_extract(s, '{NUM}', 4) AS dec, regexp_extract(s, '{NUM}', 5) AS pct FROM c WHERE regexp_matches(s, '{NUM}')),
+q AS (SELECT *, replace(whole, ',', '') AS plain, CASE WHEN whole LIKE '%,%' THEN '#,##0' ELSE '0' END || CASE WHEN dec <> '' THEN '.' || repeat('0', length(dec)) ELSE '' END AS body FROM p)
+SELECT cell_id, CAST(neg || plain || CASE WHEN dec <> '' THEN '.' || dec ELSE '' END AS DOUBLE) / CASE WHEN pct = '%' THEN 100 ELSE 1 END AS value,
+  CASE WHEN pct = '%' THEN body || '%' WHEN cur <> '' THEN '"' || cur || '"' || body ELSE body END AS format
+FROM q WHERE NOT (length(whole) > 1 AND whole LIKE '0%') AND length(plain) <= 15""")
+def typed_numbers(spark: SparkSession, d: str) -> DataFrame:
+    """STR1, STR2 over all cells."""
+    value, form = T.typed_number(F.col("text"))
+    return table(spark, d, "cell").select("cell_id", value.alias("value"), form.alias("format")).where("value is not null")
+
+
+@query(r"""
+SELECT block_id, col_pos, count(*) AS n, CAST(sum(CASE WHEN regexp_matches(s, '^[\d.,/$€£%+ -]+$') THEN 1 ELSE 0 END) AS BIGINT) AS hits,
+  count(*) >= 2 AND sum(CASE WHEN regexp_matches(s, '^[\d.,/$€£%+ -]+$') THEN 1 ELSE 0 END) * 10 >= count(*) * 6 AS "numeric"
+FROM (SELECT *, regexp_replace(text, '^\s+|\s+$', '', 'g') AS s FROM cell WHERE NOT is_header AND text IS NOT NULL) WHERE s <> '' GROUP BY ALL""")
+def numeric_columns(spark: SparkSession, d: str) -> DataFrame:
+    """FLT12."""
+    return model.numeric_columns(table(spark, d, "cell"))
+
+
+@query(r"""
+SELECT block_id, row_pos, bool_or(regexp_replace(coalesce(text, ''), '^\s+|\s+$', '', 'g') <> '') AS kept,
+  bool_and(NOT regexp_matches(coalesce(text, ''), '\d')) AND bool_or(regexp_matches(coalesce(text, ''), '[A-Za-z]{2}')) AS header FROM cell GROUP BY ALL""")
+def header_rows(spark: SparkSession, d: str) -> DataFrame:
+    """FLT10, FLT11."""
+    return model.header_rows(table(spark, d, "cell"))
+
+
+@query("""SELECT scan_id, page_number, block_id, row_number() OVER (PARTITION BY scan_id, page_number ORDER BY block_pos NULLS FIRST, block_id) AS n
+FROM block WHERE type = 'table' AND block_id IN (SELECT block_id FROM cell)""")
+def table_ordinals(spark: SparkSession, d: str) -> DataFrame:
+    """PRJ2, WIN22."""
+    return model.table_ordinals(table(spark, d, "block"), table(spark, d, "cell"))
+
+
+@query("""WITH s AS (SELECT block_id, max(col_pos) AS w FROM cell GROUP BY 1), r AS (SELECT DISTINCT block_id, row_pos FROM cell),
+p AS (SELECT r.block_id, r.row_pos, CAST(unnest(range(w + 1)) AS INTEGER) AS col_pos FROM r JOIN s USING (block_id))
+SELECT p.block_id, p.row_pos, p.col_pos, coalesce(c.text, '') AS text FROM p LEFT JOIN cell c ON c.block_id = p.block_id AND c.row_pos = p.row_pos AND c.col_pos = p.col_pos""")
+def normalize_tables(spark: SparkSession, d: str) -> DataFrame:
+    """PRJ1."""
+    return model.normalize(table(spark, d, "cell"))
+
+
+_ROWS = """t AS (SELECT block_id, row_pos, string_agg(CASE WHEN coalesce(struck, false) AND coalesce(text, '') <> '' THEN '~~' || text || '~~' ELSE coalesce(text, '') END, chr(9) ORDER BY col_pos, cell_id) AS line FROM cell GROUP BY 1, 2),
+tt AS (SELECT block_id, string_agg(line, chr(10) ORDER BY row_pos) AS r FROM t GROUP BY 1),
+li AS (SELECT block_id, string_agg(CASE WHEN coalesce(ordered, false) THEN i || '. ' ELSE '• ' END || coalesce(x, ''), chr(10) ORDER BY i) AS r FROM (SELECT block_id, ordered, unnest(items) AS x, unnest(range(1, len(items) + 1)) AS i FROM block) GROUP BY 1),
+bt AS (SELECT b.scan_id, b.page_number, b.block_pos, b.block_id, CASE WHEN type = 'list' THEN coalesce(li.r, '') WHEN type = 'table' THEN coalesce(tt.r, '')
+ WHEN type = 'checkbox' THEN CASE WHEN coalesce(checked, false) THEN '[x] ' ELSE '[ ] ' END || coalesce(text, '')
+ WHEN type IN ('signature', 'figure') THEN regexp_replace('(' || type || ') ' || coalesce(text, ''), '^\\s+|\\s+$', '', 'g') ELSE coalesce(text, '') END AS text
+ FROM block b LEFT JOIN li USING (block_id) LEFT JOIN tt USING (block_id))"""
+
+
+@query(f"WITH {_ROWS} SELECT * FROM bt")
+def block_text(spark: SparkSession, d: str) -> DataFrame:
+    """PRJ3, JS variant: struck cells as ~~text~~ (D9)."""
+    return model.block_text(table(spark, d, "block"), table(spark, d, "cell"))
+
+
+@query(f"WITH {_ROWS} SELECT scan_id, regexp_replace(string_agg(text, chr(10) || chr(10) ORDER BY page_number NULLS FIRST, block_pos NULLS FIRST, block_id), '^\\s+|\\s+$', '', 'g') AS text FROM bt GROUP BY 1")
+def plain_text_export(spark: SparkSession, d: str) -> DataFrame:
+    """SNK4."""
+    return model.plain_text(model.block_text(table(spark, d, "block"), table(spark, d, "cell")))
+
+
+@query("""SELECT page_number, type, CAST(unnest(range(1, len(items) + 1)) AS VARCHAR) AS field, unnest(items) AS value, coalesce(uncertain, false) AS uncertain FROM block WHERE type = 'list'
+UNION ALL SELECT page_number, type, '', text, coalesce(uncertain, false) FROM block WHERE type NOT IN ('list', 'table', 'key_value')
+UNION ALL SELECT page_number, 'key_value', key, value, coalesce(uncertain, false) FROM key_value""")
+def content_rows(spark: SparkSession, d: str) -> DataFrame:
+    """PRJ5."""
+    return model.content_rows(table(spark, d, "block"), table(spark, d, "key_value"))
+
+
+@query("""SELECT block_id, row_pos, '| ' || string_agg(CASE WHEN coalesce(struck, false) AND coalesce(text, '') <> '' THEN '~~' || m || '~~' ELSE m END || CASE WHEN coalesce(uncertain, false) THEN ' ⚠' ELSE '' END, ' | ' ORDER BY col_pos, cell_id) || ' |' AS line
+FROM (SELECT *, replace(replace(coalesce(text, ''), '|', '\\|'), chr(10), '<br>') AS m FROM cell) GROUP BY 1, 2""")
+def markdown_rows(spark: SparkSession, d: str) -> DataFrame:
+    """SNK3, rows of tables."""
+    return model.table_lines(table(spark, d, "cell"), "markdown")
+
+
+@query("SELECT block_id, repeat('#', CAST(least(6, coalesce(level, 1) + 1) AS INTEGER)) || ' ' || coalesce(text, '') AS line FROM block WHERE type = 'heading'")
+def markdown_headings(spark: SparkSession, d: str) -> DataFrame:
+    """SNK3, headings of titled documents."""
+    return model.heading_markdown(table(spark, d, "block"))
+
+
+@query("""SELECT block_id, row_pos, string_agg(CASE WHEN regexp_matches(t, '[",\\r\\n]') THEN '"' || replace(t, '"', '""') || '"' ELSE t END, ',' ORDER BY col_pos, cell_id) AS line
+FROM (SELECT *, coalesce(text, '') AS t FROM cell) GROUP BY 1, 2""")
+def csv_export_lines(spark: SparkSession, d: str) -> DataFrame:
+    """SNK2, STR11."""
+    return model.table_lines(table(spark, d, "cell"), "csv")
+
+
+@query("SELECT block_id, col_pos, CAST(greatest(8, least(60, max(n) + 2)) AS BIGINT) AS width FROM (SELECT block_id, col_pos, length(unnest(string_split(coalesce(text, ''), chr(10)))) AS n FROM cell) GROUP BY 1, 2")
+def column_widths(spark: SparkSession, d: str) -> DataFrame:
+    """SNK9, AGG23."""
+    return model.column_widths(table(spark, d, "cell"))
+
+
+@query(r"""SELECT scan_id, CASE WHEN f = '' THEN 'scan' ELSE f END AS name FROM (SELECT scan_id, substring(regexp_replace(regexp_replace(coalesce(title, ''), '[^\w\- ]+', '', 'g'), '^\s+|\s+$', '', 'g'), 1, 80) AS f FROM scan)""")
+def safe_filenames(spark: SparkSession, d: str) -> DataFrame:
+    """SNK19, ASCII variant (D12)."""
+    return table(spark, d, "scan").select("scan_id", T.file_name(F.col("title")).alias("name"))
+
+
+@query(r"""SELECT scan_id, CASE WHEN n = 1 THEN b ELSE left(b, CAST(31 - length(' (' || n || ')') AS INTEGER)) || ' (' || n || ')' END AS sheet
+FROM (SELECT scan_id, b, row_number() OVER (PARTITION BY b ORDER BY scan_id) AS n FROM (SELECT scan_id, substring(regexp_replace(coalesce(title, 'Sheet'), '[\[\]:*?/\\]', ' ', 'g'), 1, 31) AS b FROM scan))""")
+def sheet_names_unique(spark: SparkSession, d: str) -> DataFrame:
+    """SNK8."""
+    return model.sheet_names(table(spark, d, "scan"))
+
+
+@query("SELECT c.cell_id, CASE WHEN coalesce(c.text, '') <> '' THEN coalesce(c.struck, false) OR coalesce(f.s, false) ELSE coalesce(c.struck, false) END AS struck FROM cell c LEFT JOIN (SELECT block_id, row_pos, bool_or(coalesce(struck, false)) AS s FROM cell WHERE col_pos = 0 GROUP BY 1, 2) f USING (block_id, row_pos)")
+def struck_rows(spark: SparkSession, d: str) -> DataFrame:
+    """AGG25."""
+    return model.strike_rows(table(spark, d, "cell"))
+
+
+@query("SELECT block_id, floor(min(coalesce(conf, 1.0)) * 100 + 0.5) / 100 AS confidence, bool_or(coalesce(uncertain, false)) AS uncertain FROM cell GROUP BY 1")
+def table_confidence(spark: SparkSession, d: str) -> DataFrame:
+    """AGG8."""
+    return model.block_confidence(table(spark, d, "cell"))
+
+
+@query("SELECT scan_id, left(string_split(arg_min(text, (page_number, block_pos, block_id)), chr(10))[1], 80) AS title FROM block WHERE type = 'heading' AND text IS NOT NULL AND page_number IS NOT NULL AND block_pos IS NOT NULL GROUP BY 1")
+def scan_titles(spark: SparkSession, d: str) -> DataFrame:
+    """PRJ17, D13 JS variant."""
+    return model.titles(table(spark, d, "block"))
+
+
+@query("""WITH c AS (SELECT block_id, sum(CAST(coalesce(uncertain, false) AS INT)) AS c FROM cell GROUP BY 1), k AS (SELECT scan_id, sum(CAST(coalesce(uncertain, false) AS INT)) AS k FROM key_value GROUP BY 1),
+b AS (SELECT scan_id, sum(CASE WHEN type = 'table' THEN coalesce(c, 0) WHEN type = 'key_value' THEN 0 ELSE CAST(coalesce(uncertain, false) AS INT) END) AS b, CAST(sum(CASE WHEN type = 'table' THEN 1 ELSE 0 END) AS BIGINT) AS tables, count(DISTINCT page_number) AS pages FROM block LEFT JOIN c USING (block_id) GROUP BY 1)
+SELECT scan_id, CAST(b + coalesce(k, 0) AS BIGINT) AS doubtful, tables, pages FROM b LEFT JOIN k USING (scan_id)""")
+def doubt_counts(spark: SparkSession, d: str) -> DataFrame:
+    """AGG10, AGG11."""
+    return model.doubt_counts(table(spark, d, "block"), table(spark, d, "cell"), table(spark, d, "key_value"))
+
+
+_CLASS = rf"CASE WHEN regexp_matches(ltext, '{T.CHECKBOX}') THEN 'checkbox' WHEN regexp_matches(ltext, '{T.BULLET}') THEN 'bullet' WHEN regexp_matches(ltext, '{T.KEY_VALUE}') AND regexp_replace(regexp_extract(ltext, '{T.KEY_VALUE}', 1), '^\s+|\s+$', '', 'g') <> '' AND NOT regexp_matches(regexp_extract(ltext, '{T.KEY_VALUE}', 1), '\d$') THEN 'key_value' ELSE 'text' END"
+#: Lines of text, list items with a bullet and pairs as `key: value`: each class of line occurs.
+_MIXED = rf"mixed AS (SELECT block_id AS page, line, ltext FROM lines UNION ALL SELECT -kv_id, CAST(0 AS BIGINT), key || ': ' || coalesce(value, '') FROM key_value WHERE key IS NOT NULL UNION ALL SELECT block_id * 1000, CAST(unnest(range(len(items))) AS BIGINT), '- ' || unnest(items) FROM block WHERE items IS NOT NULL)"
+
+
+def _mixed(spark: SparkSession, d: str) -> DataFrame:
+    items = table(spark, d, "block").where("items is not null").select((F.col("block_id") * 1000).alias("page"), F.posexplode("items").alias("_i", "_t")).select("page", F.col("_i").cast("bigint").alias("line"), F.concat(F.lit("- "), "_t").alias("ltext"))
+    pairs = table(spark, d, "key_value").where("key is not null").select((-F.col("kv_id")).alias("page"), F.lit(0).cast("bigint").alias("line"), F.concat("key", F.lit(": "), F.coalesce("value", F.lit(""))).alias("ltext"))
+    return V.lines(spark, d).select(F.col("block_id").alias("page"), "line", "ltext").unionByName(pairs).unionByName(items)
+
+
+@query(f"WITH {V.LINES}, {_MIXED} SELECT page, line, {_CLASS} AS class FROM mixed WHERE ltext IS NOT NULL")
+def line_classes(spark: SparkSession, d: str) -> DataFrame:
+    """FLT16, FLT18."""
+    return _mixed(spark, d).where("ltext is not null").select("page", "line", T.line_class(F.col("ltext")).alias("class"))
+
+
+@query(f"""WITH {V.LINES}, {_MIXED}, k AS (SELECT page, line, {_CLASS} AS class FROM mixed WHERE ltext IS NOT NULL),
+i AS (SELECT *, sum(CASE WHEN p = class THEN 0 ELSE 1 END) OVER (PARTITION BY page ORDER BY line) AS island FROM (SELECT *, lag(class) OVER (PARTITION BY page ORDER BY line) AS p FROM k))
+SELECT page, min(line) AS first_line, count(*) AS n, class FROM i WHERE class <> 'text' GROUP BY page, island, class HAVING class = 'bullet' OR count(*) >= 2""")
+def list_and_form_blocks(spark: SparkSession, d: str) -> DataFrame:
+    """WIN11, WIN12: runs of bullets; runs of at least two pairs."""
+    from pyspark.sql import Window as W
+
+    k = _mixed(spark, d).where("ltext is not null").select("page", "line", T.line_class(F.col("ltext")).alias("class"))
+    i = geometry.islands(k, ["page"], ["line"], F.lag("class").over(W.partitionBy("page").orderBy("line")) != F.col("class"))
+    return i.where("class <> 'text'").groupBy("page", "island", "class").agg(F.min("line").alias("first_line"), F.count("*").alias("n")).where("class = 'bullet' or n >= 2").select("page", "first_line", "n", "class")
+
+
+@query(f"WITH {V.WORDS} SELECT block_id, line, string_agg(wtext, ' ' ORDER BY x0, word) AS text, min(x0) AS x0, max(x0 + w) AS x1, round(avg(conf), 6) AS conf, bool_or(conf < 70) AS uncertain FROM words GROUP BY 1, 2")
+def words_to_lines(spark: SparkSession, d: str) -> DataFrame:
+    """AGG1, FLT2, PRJ8."""
+    return geometry.lines_of_words(V.words(spark, d), ["block_id", "line"]).withColumn("conf", F.round("conf", 6))
+
+
+@query(f"""WITH {V.WORDS}, s AS (SELECT *, sum(CASE WHEN x0 - p > 25 OR p IS NULL THEN 1 ELSE 0 END) OVER (PARTITION BY block_id, line ORDER BY word) AS segment FROM (SELECT *, lag(x0 + w) OVER (PARTITION BY block_id, line ORDER BY word) AS p FROM words))
+SELECT block_id, line, CAST(segment AS BIGINT) AS segment, min(x0) AS x0, max(x0 + w) AS x1, count(*) AS n FROM s GROUP BY 1, 2, 3""")
+def line_segments(spark: SparkSession, d: str) -> DataFrame:
+    """WIN1."""
+    return geometry.segments(V.words(spark, d), ["block_id", "line"])
+
+
+@query(f"""WITH {V.WORDS}, s AS (SELECT *, sum(CASE WHEN x0 - p >= 5 OR p IS NULL THEN 1 ELSE 0 END) OVER (PARTITION BY block_id, line ORDER BY x0, word) AS segment FROM (SELECT *, max(x0 + w) OVER (PARTITION BY block_id, line ORDER BY x0, word ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS p FROM words))
+SELECT block_id, line, CAST(segment AS BIGINT) AS segment, min(x0) AS x0, max(x0 + w) AS x1, count(*) AS n FROM s GROUP BY 1, 2, 3""")
+def merged_segments(spark: SparkSession, d: str) -> DataFrame:
+    """WIN2."""
+    return geometry.merged_segments(V.words(spark, d), ["block_id", "line"])
+
+
+@query(f"""WITH RECURSIVE {V.WORDS}, s AS (SELECT block_id, line, min(x0) AS x0 FROM words GROUP BY block_id, line, word // 3), a(block_id, col, start) AS (
+SELECT block_id, CAST(0 AS BIGINT), min(x0) FROM s GROUP BY block_id UNION ALL SELECT a.block_id, a.col + 1, (SELECT min(x0) FROM s WHERE s.block_id = a.block_id AND s.x0 > a.start + 60) AS n FROM a WHERE EXISTS (SELECT 1 FROM s WHERE s.block_id = a.block_id AND s.x0 > a.start + 60))
+SELECT block_id, col, start FROM a""")
+def column_starts(spark: SparkSession, d: str) -> DataFrame:
+    """WIN4: the SQL takes the next start beyond the anchor, again and again."""
+    s = V.words(spark, d).withColumn("_g", F.floor(F.col("word") / 3)).groupBy("block_id", "line", "_g").agg(F.min("x0").alias("x0"))
+    return geometry.column_starts(s, ["block_id"], 60)
+
+
+@query(f"""WITH {V.MARKS}, s AS (SELECT page, x, sum(CASE WHEN x - p <= 4 THEN 0 ELSE 1 END) OVER (PARTITION BY page ORDER BY x) AS island FROM (SELECT page, x, lag(x) OVER (PARTITION BY page ORDER BY x) AS p FROM (SELECT DISTINCT page, x FROM marks)))
+SELECT page, CAST(island AS BIGINT) AS island, count(*) AS n, round(avg(x), 6) AS position FROM s GROUP BY 1, 2""")
+def rule_positions(spark: SparkSession, d: str) -> DataFrame:
+    """WIN3."""
+    return geometry.rule_positions(V.marks(spark, d), ["page"], "x").withColumn("position", F.round("position", 6))
+
+
+@query(f"""WITH {V.MARKS}, s AS (SELECT page, y, sum(CASE WHEN y - p < 3 THEN 0 ELSE 1 END) OVER (PARTITION BY page ORDER BY y) AS cluster FROM (SELECT page, y, lag(y) OVER (PARTITION BY page ORDER BY y) AS p FROM (SELECT DISTINCT page, y FROM marks))),
+g AS (SELECT page, CAST(cluster AS BIGINT) AS cluster, avg(y) AS centre, count(*) AS n FROM s GROUP BY 1, 2)
+SELECT page, cluster, round(centre, 6) AS centre, n, round((centre + lead(centre) OVER (PARTITION BY page ORDER BY cluster)) / 2, 6) AS boundary FROM g""")
+def row_clusters(spark: SparkSession, d: str) -> DataFrame:
+    """WIN6, WIN18."""
+    g = geometry.row_clusters(V.marks(spark, d), ["page"], "y", 3)
+    return g.select("page", "cluster", F.round("centre", 6).alias("centre"), "n", F.round("boundary", 6).alias("boundary"))
+
+
+_IN_GRID = "taken AS (SELECT m.page, m.id, r.r, c.c FROM marks m JOIN gcols c ON c.page = m.page AND m.x >= c.x0 AND m.x < c.x1 JOIN grows r ON r.page = m.page AND m.y >= r.y0 AND m.y < r.y1)"
+
+
+@query(f"WITH {V.MARKS}, {_IN_GRID} SELECT page, id, r, c FROM taken")
+def grid_cells(spark: SparkSession, d: str) -> DataFrame:
+    """JOI1, LAY3."""
+    return geometry.grid_cells(V.marks(spark, d), *V.grid(spark, d))
+
+
+@query(f"WITH {V.MARKS}, {_IN_GRID} SELECT r.page, r.r, c.c FROM grows r JOIN gcols c USING (page) WHERE NOT EXISTS (SELECT 1 FROM taken t WHERE t.page = r.page AND t.r = r.r AND t.c = c.c)")
+def empty_cells(spark: SparkSession, d: str) -> DataFrame:
+    """JOI4, JOI5."""
+    cols, rows = V.grid(spark, d)
+    return geometry.empty_cells(cols, rows, geometry.grid_cells(V.marks(spark, d), cols, rows))
+
+
+@query(f"WITH {V.MARKS} SELECT m.page, m.id, count(r.x) AS col FROM marks m LEFT JOIN rules r ON r.page = m.page AND r.x < m.x GROUP BY 1, 2")
+def column_of(spark: SparkSession, d: str) -> DataFrame:
+    """JOI2, JOI13."""
+    return geometry.column_of(V.marks(spark, d), V.rules(spark, d))
+
+
+@query(f"WITH {V.MARKS} SELECT r.page, r.rule, r.x, CAST(count(*) FILTER (m.x < r.x) AS BIGINT) AS left_n, CAST(count(*) FILTER (m.x >= r.x) AS BIGINT) AS right_n FROM rules r JOIN marks m USING (page) GROUP BY 1, 2, 3 HAVING count(*) FILTER (m.x < r.x) >= 2 AND count(*) FILTER (m.x >= r.x) >= 2")
+def main_rules(spark: SparkSession, d: str) -> DataFrame:
+    """JOI3."""
+    return geometry.main_rules(V.marks(spark, d), V.rules(spark, d))
+
+
+@query(f"""WITH {V.MARKS}{V.BOXES} SELECT * FROM boxes n WHERE id % 2 = 1 AND NOT EXISTS (SELECT 1 FROM boxes o WHERE o.id % 2 = 0 AND o.page = n.page
+AND greatest(0, least(n.x1, o.x1) - greatest(n.x0, o.x0)) * greatest(0, least(n.y1, o.y1) - greatest(n.y0, o.y0)) > least((n.x1 - n.x0) * (n.y1 - n.y0), (o.x1 - o.x0) * (o.y1 - o.y0)) * 0.3)""")
+def overlap_antijoin(spark: SparkSession, d: str) -> DataFrame:
+    """JOI6, JOI10: two kinds of boxes, odd and even ids."""
+    b = V.boxes(spark, d)
+    return geometry.overlap_antijoin(b.where("id % 2 = 1"), b.where("id % 2 = 0"))
+
+
+@query(f"WITH {V.MARKS} SELECT page, id, mark FROM (SELECT m.page, m.id, r.x AS mark, row_number() OVER (PARTITION BY m.page, m.id ORDER BY abs(r.x - m.x), r.x) AS k FROM marks m JOIN rules r ON r.page = m.page) WHERE k = 1")
+def nearest_column(spark: SparkSession, d: str) -> DataFrame:
+    """JOI11, JOI12; of two as near the smaller."""
+    return geometry.nearest(V.marks(spark, d), V.rules(spark, d))
+
+
+@query(f"WITH {V.MARKS} SELECT page, min(x) AS median FROM (SELECT page, x, sum(sum(y)) OVER (PARTITION BY page ORDER BY x) AS run, sum(sum(y)) OVER (PARTITION BY page) AS total FROM marks GROUP BY page, x) WHERE run * 2 >= total GROUP BY 1")
+def weighted_median(spark: SparkSession, d: str) -> DataFrame:
+    """AGG4."""
+    return geometry.weighted_median(V.marks(spark, d), ["page"], "x", "y")
+
+
+@query(f"WITH {V.MARKS} SELECT page, l[len(l) // 2 + 1] AS median FROM (SELECT page, list(x ORDER BY x) AS l FROM marks GROUP BY 1)")
+def upper_median(spark: SparkSession, d: str) -> DataFrame:
+    """AGG2 (D4)."""
+    return geometry.upper_median(V.marks(spark, d), ["page"], "x")
+
+
+@query(f"WITH {V.MARKS}, m AS (SELECT page, l[len(l) // 2 + 1] AS median FROM (SELECT page, list(x ORDER BY x) AS l FROM marks GROUP BY 1)) SELECT page, l[len(l) // 2 + 1] AS spread FROM (SELECT page, list(abs(x - median) ORDER BY abs(x - median)) AS l FROM marks JOIN m USING (page) GROUP BY 1)")
+def angle_spread(spark: SparkSession, d: str) -> DataFrame:
+    """AGG5."""
+    return geometry.spread(V.marks(spark, d), ["page"], "x")
+
+
+@query(f"WITH {V.MARKS} SELECT page, l[CAST(least(len(l), floor(0.9 * len(l)) + 1) AS INTEGER)] AS quantile FROM (SELECT page, list(x ORDER BY x) AS l FROM marks GROUP BY 1)")
+def row_quantile(spark: SparkSession, d: str) -> DataFrame:
+    """AGG7."""
+    return geometry.quantile_at(V.marks(spark, d), ["page"], "x", 0.9)
+
+
+@query(f"WITH {V.MARKS} SELECT page, median(x) AS median FROM marks GROUP BY 1")
+def interpolated_median(spark: SparkSession, d: str) -> DataFrame:
+    """AGG3 (D4, Python variant)."""
+    return V.marks(spark, d).groupBy("page").agg(F.median("x").alias("median"))
+
+
+@query(f"WITH {V.MARKS}, f AS (SELECT page, regr_slope(x, y) AS a, regr_intercept(x, y) AS b FROM marks GROUP BY 1) SELECT page, round(a, 6) AS a, round(b, 6) AS b, round(avg(abs(x - a * y - b)), 6) AS residual FROM marks JOIN f USING (page) GROUP BY page, a, b")
+def rule_fit(spark: SparkSession, d: str) -> DataFrame:
+    """AGG13, AGG15."""
+    return geometry.rule_fit(V.marks(spark, d), ["page"]).select("page", *[F.round(c, 6).alias(c) for c in ("a", "b", "residual")])
+
+
+_COVER = "cover AS (SELECT page, bin, count(DISTINCT y) AS rows FROM (SELECT page, y0 // 40 AS y, unnest(range(x0 // 16, x1 // 16 + 1)) AS bin FROM boxes) GROUP BY 1, 2)"
+
+
+@query(f"WITH {V.MARKS}{V.BOXES}, {_COVER} SELECT page, bin, rows FROM cover")
+def coverage_histogram(spark: SparkSession, d: str) -> DataFrame:
+    """AGG12."""
+    return geometry.coverage(V.boxes(spark, d).withColumn("_y", F.floor(F.col("y0") / 40)), ["page"], "_y", 16)
+
+
+@query(f"""WITH {V.MARKS}{V.BOXES}, {_COVER}, t AS (SELECT *, sum(CASE WHEN bin - p = 1 THEN 0 ELSE 1 END) OVER (PARTITION BY page ORDER BY bin) AS run FROM (SELECT *, lag(bin) OVER (PARTITION BY page ORDER BY bin) AS p FROM cover WHERE rows <= 3)),
+l AS (SELECT page, run, bin FROM (SELECT *, min(rows) OVER (PARTITION BY page, run) AS m FROM t) WHERE rows = m),
+s AS (SELECT *, sum(CASE WHEN bin - p = 1 THEN 0 ELSE 1 END) OVER (PARTITION BY page, run ORDER BY bin) AS part FROM (SELECT *, lag(bin) OVER (PARTITION BY page, run ORDER BY bin) AS p FROM l))
+SELECT page, CAST(run AS BIGINT) AS run, CAST(part AS BIGINT) AS part, (min(bin) + max(bin) + 1) / 2 AS gap FROM s GROUP BY 1, 2, 3""")
+def column_gaps(spark: SparkSession, d: str) -> DataFrame:
+    """WIN9, LAY5."""
+    return geometry.column_gaps(coverage_histogram(spark, d), ["page"], 3)
+
+
+@query(f"WITH {V.MARKS} SELECT page, id, max(x) OVER (PARTITION BY page ORDER BY id ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING) AS reference FROM marks")
+def local_reference(spark: SparkSession, d: str) -> DataFrame:
+    """WIN17."""
+    return geometry.local_reference(V.marks(spark, d), ["page"], "id", "x").select("page", "id", "reference")
+
+
+#: Numbers that count up in each page, one in eight misread.
+_SEQ = "seq AS (SELECT page, id, CAST(k + page % 7 + CASE WHEN id % 8 = 0 THEN id % 5 ELSE 0 END AS BIGINT) AS v FROM (SELECT page, id, row_number() OVER (PARTITION BY page ORDER BY id) AS k FROM marks))"
+
+
+@query(f"""WITH {V.MARKS}, {_SEQ}, i AS (SELECT *, row_number() OVER (PARTITION BY page ORDER BY id) - 1 AS i FROM seq), o AS (SELECT page, v - i AS o, count(*) AS n, min(i) AS f FROM i GROUP BY 1, 2),
+w AS (SELECT page, o FROM (SELECT *, row_number() OVER (PARTITION BY page ORDER BY n DESC, f) AS k FROM o) WHERE k = 1) SELECT page, id, v, CAST(o + i AS BIGINT) AS expected FROM i JOIN w USING (page)""")
+def sequence_repair(spark: SparkSession, d: str) -> DataFrame:
+    """AGG9, WIN15."""
+    from pyspark.sql import Window as W
+
+    k = F.row_number().over(W.partitionBy("page").orderBy("id"))
+    s = V.marks(spark, d).withColumn("_k", k).selectExpr("page", "id", "cast(_k + page % 7 + case when id % 8 = 0 then id % 5 else 0 end as bigint) as v")
+    return geometry.repair_sequence(s, ["page"], "id", "v")
+
+
+_PAIRS = "(VALUES " + ", ".join(f"('{p}')" for x in T.CONFUSABLE for p in (x, x[::-1])) + ") AS k(p)"
+
+
+@query(f"""WITH c AS (SELECT nation AS page, text, max(conf) AS conf FROM (SELECT c_nationkey AS nation, replace(c_name, '#', '') AS text, (c_custkey * 37 % 100) / 100.0 AS conf FROM customer) WHERE regexp_matches(text, '^[A-Za-z0-9().-]{{6,}}$') GROUP BY 1, 2),
+p AS (SELECT a.page, a.text, a.conf AS ca, b.text AS bt, b.conf AS cb FROM c a JOIN c b ON a.page = b.page AND a.text <> b.text AND length(a.text) = length(b.text)
+ WHERE (regexp_matches(a.text, '\\d') OR regexp_matches(b.text, '\\d')) AND hamming(a.text, b.text) <= 2 AND hamming(a.text, b.text) * 4 <= length(a.text)
+ AND NOT EXISTS (SELECT 1 FROM (SELECT unnest(range(1, 60)) AS i) WHERE i <= length(a.text) AND a.text[i] <> b.text[i] AND a.text[i] || b.text[i] NOT IN (SELECT p FROM {_PAIRS}))),
+g AS (SELECT page, text, max(ca) AS ca, max(cb) AS cb, arg_max(bt, (cb, bt)) AS bt, bool_or(abs(ca - cb) <= 0.05) AS near FROM p GROUP BY 1, 2)
+SELECT page, text, CASE WHEN cb > ca + 0.05 THEN bt ELSE text END AS reading, cb > ca + 0.05 OR near AS flagged FROM g""")
+def harmonize_codes(spark: SparkSession, d: str) -> DataFrame:
+    """JOI8, STR5 in the set-based definition; codes from customers, a nation as document."""
+    c = table(spark, d, "customer").selectExpr("c_nationkey as page", "replace(c_name, '#', '') as text", "(c_custkey * 37 % 100) / 100.0D as conf")
+    return quality.harmonize(c, ["page"])
+
+
+_TRUTH = "truth AS (SELECT scan_id, block_id AS truth_id, left(ltext, 40) AS truth FROM lines WHERE line = 0 AND regexp_matches(ltext, '^[ -~]*$')), cand AS (SELECT scan_id, left(ltext, 40) AS line FROM lines WHERE line > 0 AND regexp_matches(ltext, '^[ -~]*$'))"
+
+
+@query(f"WITH {V.LINES}, {_TRUTH} SELECT scan_id, truth_id, CAST(min(levenshtein(truth, line)) AS INTEGER) AS distance FROM truth JOIN cand USING (scan_id) GROUP BY 1, 2")
+def best_line_match(spark: SparkSession, d: str) -> DataFrame:
+    """JOI14, STR4: first lines against the other lines of their scan; ASCII distances, 40 characters each."""
+    ln = V.lines(spark, d).where(F.col("ltext").rlike("^[ -~]*$"))
+    truth = ln.where("line = 0").selectExpr("scan_id", "block_id as truth_id", "left(ltext, 40) as truth")
+    return quality.best_line_match(truth, ln.where("line > 0").selectExpr("scan_id", "left(ltext, 40) as line"), ["scan_id"])
+
+
+_TOK = rf"SELECT scan_id, unnest(regexp_extract_all(text, '{T.NUMBER_TOKEN}')) AS token FROM block WHERE text IS NOT NULL AND page_number"
+
+
+@query(rf"""WITH t AS (SELECT scan_id, token, count(*) AS t FROM ({_TOK} = 1) GROUP BY 1, 2), r AS (SELECT scan_id, token, count(*) AS r FROM ({_TOK} = 2) GROUP BY 1, 2)
+SELECT scan_id, CAST(sum(t) AS BIGINT) AS wanted, CAST(sum(least(t, coalesce(r, 0))) AS BIGINT) AS hits FROM t LEFT JOIN r USING (scan_id, token) GROUP BY 1""")
+def number_recall(spark: SparkSession, d: str) -> DataFrame:
+    """STR10, SET2: numbers of the first page found on the second."""
+    b = table(spark, d, "block").where("text is not null")
+    return quality.number_recall(b.where("page_number = 1"), b.where("page_number = 2"), ["scan_id"])
+
+
+@query("SELECT device_id, created, scan_id, title FROM (SELECT *, row_number() OVER (PARTITION BY device_id ORDER BY created DESC, scan_id DESC) AS k FROM scan WHERE created IS NOT NULL) WHERE k = 1")
+def latest_scans(spark: SparkSession, d: str) -> DataFrame:
+    """SNK16, JOI17: the newest scan of each device."""
+    s = table(spark, d, "scan").where("created is not null").select("device_id", "created", "scan_id", "title")
+    return history.latest(s, "device_id", ["created", "scan_id"]).select("device_id", "created", "scan_id", "title")
+
+
+@query("SELECT scan_id, created FROM scan WHERE created IS NOT NULL ORDER BY created DESC, scan_id DESC LIMIT 40")
+def newest_scans(spark: SparkSession, d: str) -> DataFrame:
+    """SRT2, SRC10: the newest 40 are the feature."""
+    return history.retain(table(spark, d, "scan").where("created is not null").select("scan_id", "created"), "created", 40, "scan_id")
+
+
+@query("SELECT scan_id, title FROM scan WHERE contains(lower(title), 'report') OR contains(lower(language), 'report')")
+def scan_search(spark: SparkSession, d: str) -> DataFrame:
+    """FLT14."""
+    return history.search(table(spark, d, "scan"), " Report ", "title", "language").select("scan_id", "title")
+
+
+@query("SELECT scan_id, title FROM scan WHERE scan_id NOT IN (SELECT scan_id FROM scan WHERE handwritten)")
+def delete_scans(spark: SparkSession, d: str) -> DataFrame:
+    """SNK17."""
+    s = table(spark, d, "scan")
+    return history.delete(s, s.where("handwritten"), "scan_id").select("scan_id", "title")
+
+
+_STEPS = "steps AS (SELECT user_id AS page, event_id AS t, CASE WHEN event_id % 3 = 0 THEN '-' ELSE left(event_type, 1) END AS best FROM events)"
+
+
+@query(f"WITH {_STEPS} SELECT page, string_agg(best, '' ORDER BY t) AS text FROM (SELECT *, lag(best) OVER (PARTITION BY page ORDER BY t) AS p FROM steps) WHERE best <> '-' AND (p IS NULL OR p <> best) GROUP BY 1")
+def ctc_collapse(spark: SparkSession, d: str) -> DataFrame:
+    """WIN20."""
+    steps = table(spark, d, "events").selectExpr("user_id as page", "event_id as t", "case when event_id % 3 = 0 then '-' else left(event_type, 1) end as best")
+    return geometry.collapse_repeats(steps, ["page"], "-")
+
+
+#: Cell texts as glyphs; runner-ups are the digits that the letters look like.
+_ALT = {"s": "5", "S": "5", "o": "0", "O": "0", "l": "1", "I": "1", "Z": "2", "z": "2", "B": "8", "g": "9", "q": "9", "b": "6", "G": "6", "T": "7", "|": "1"}
+
+
+@query(r"""WITH g AS (SELECT cell_id, unnest(string_split(text, '')) AS c, unnest(range(length(text))) AS pos FROM cell WHERE text <> ''),
+t AS (SELECT *, sum(CASE WHEN c = ' ' THEN 1 ELSE 0 END) OVER (PARTITION BY cell_id ORDER BY pos) AS tok, translate(c, 'sSoOlIZzBgqbGT|', '550011228996671') AS alt FROM g),
+u AS (SELECT *, c <> ' ' AND NOT regexp_matches(c, '[\d.,/:\-$€£¥₹#%+]') AS odd FROM t),
+v AS (SELECT *, count(*) FILTER (regexp_matches(c, '\d')) OVER w AS digits, count(*) FILTER (odd) OVER w AS odds, count(*) FILTER (odd AND NOT regexp_matches(c, '[sSoOlIZzBgqbGT|]')) OVER w AS bad FROM u WINDOW w AS (PARTITION BY cell_id, tok)),
+x AS (SELECT *, odd AND digits >= 2 AND odds <= greatest(1.0, digits / 3) AND bad = 0 AS fix FROM v)
+SELECT cell_id, string_agg(CASE WHEN fix THEN alt ELSE c END, '' ORDER BY pos) AS text, bool_or(fix) AS flagged FROM x GROUP BY 1""")
+def numeric_token_fix(spark: SparkSession, d: str) -> DataFrame:
+    """STR3."""
+    glyphs = table(spark, d, "cell").where("text <> ''").select("cell_id", F.posexplode(F.split("text", "")).alias("pos", "c"))
+    glyphs = glyphs.where("c <> ''").withColumn("alt", F.translate("c", "".join(_ALT), "".join(_ALT.values()))).withColumn("alt_p", F.lit(0.5))
+    return quality.fix_numeric_tokens(glyphs, ["cell_id"])
+
+
+@query("""SELECT user_id AS page, CAST(r AS INTEGER) AS r, CAST(c AS INTEGER) AS c, CAST(greatest(0, floor(c * w / 3.0 - w / 3.0 * 0.125)) AS BIGINT) AS x0, CAST(greatest(0, floor(r * h / 3.0 - h / 3.0 * 0.125)) AS BIGINT) AS y0,
+CAST(least(w, floor((c + 1) * w / 3.0 + w / 3.0 * 0.125)) AS BIGINT) AS x1, CAST(least(h, floor((r + 1) * h / 3.0 + h / 3.0 * 0.125)) AS BIGINT) AS y1
+FROM (SELECT DISTINCT user_id, CAST(1200 + user_id % 5 * 240 AS BIGINT) AS w, CAST(960 + user_id % 3 * 480 AS BIGINT) AS h FROM events), (SELECT unnest(range(3)) AS r), (SELECT unnest(range(3)) AS c)""")
+def page_tiles(spark: SparkSession, d: str) -> DataFrame:
+    """PRJ10."""
+    p = table(spark, d, "events").selectExpr("user_id as page", "1200 + user_id % 5 * 240 as width", "960 + user_id % 3 * 480 as height").distinct()
+    return geometry.tiles(p, 3, 0.125)
+
+
+@query("""WITH n AS (SELECT DISTINCT col_pos + 1 + 40 * row_pos AS n FROM cell) SELECT n, CASE WHEN n <= 26 THEN chr(CAST(64 + n AS INTEGER)) WHEN n <= 702 THEN chr(CAST(65 + (n - 27) // 26 AS INTEGER)) || chr(CAST(65 + (n - 1) % 26 AS INTEGER))
+ELSE chr(CAST(65 + (n - 703) // 676 AS INTEGER)) || chr(CAST(65 + (n - 703) // 26 % 26 AS INTEGER)) || chr(CAST(65 + (n - 703) % 26 AS INTEGER)) END AS letters FROM n""")
+def column_letters(spark: SparkSession, d: str) -> DataFrame:
+    """PRJ21."""
+    return table(spark, d, "cell").selectExpr("col_pos + 1 + 40 * row_pos as n").distinct().select("n", T.column_letters(F.col("n")).alias("letters"))
+
+
+@query("SELECT scan_id, avg(CASE WHEN length(ltext) > 40 THEN 1.0 ELSE 0.0 END) > 0.6 AS wide, count(*) AS n FROM (SELECT *, row_number() OVER (PARTITION BY scan_id ORDER BY length(ltext) DESC, block_id, line) AS k FROM (WITH " + V.LINES + " SELECT * FROM lines)) WHERE k <= 24 GROUP BY 1")
+def orientation_vote(spark: SparkSession, d: str) -> DataFrame:
+    """SRT5, FLT22: a vote of the 24 longest lines."""
+    from pyspark.sql import Window as W
+
+    k = F.row_number().over(W.partitionBy("scan_id").orderBy(F.desc(F.length("ltext")), "block_id", "line"))
+    top = V.lines(spark, d).withColumn("_k", k).where("_k <= 24")
+    return top.groupBy("scan_id").agg((F.avg((F.length("ltext") > 40).cast("double")) > 0.6).alias("wide"), F.count("*").alias("n"))
+
+
+def _page_lines(spark: SparkSession, d: str) -> DataFrame:
+    """Segments as positioned lines of a page each."""
+    w = V.words(spark, d).join(V.lines(spark, d).select("block_id", "line").distinct(), ["block_id", "line"])
+    seg = geometry.segments(w, ["block_id", "line"])
+    text = geometry.islands(w, ["block_id", "line"], ["word"], F.expr("x0 - lag(x0 + w) over (partition by block_id, line order by word) > 25"), "segment").groupBy("block_id", "line", "segment").agg(
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("word", "wtext"))), lambda x: x["wtext"]), " ").alias("text")
+    )
+    s = seg.join(text, ["block_id", "line", "segment"])
+    return s.selectExpr("block_id as page", "line * 1000 + segment as line_id", "text", "cast(x0 as double) as x0", "cast(x1 as double) as x1", "cast(line * 12 as double) as y0", "cast(line * 12 + 10 as double) as y1")
+
+
+@query("""WITH p AS (SELECT block_id, length(regexp_replace(text, '[^A-Za-zÀ-ɏ]', '', 'g')) AS latin, length(regexp_replace(text, '[^Ѐ-ӿ぀-ヿ一-鿿]', '', 'g')) AS other FROM block WHERE text IS NOT NULL)
+SELECT block_id, latin, other, latin >= 20 AND other > 0 AND other <= 0.05 * (latin + other) AS stray FROM p""")
+def stray_script(spark: SparkSession, d: str) -> DataFrame:
+    """FLT6, STR12: texts in Latin script with a few glyphs of another."""
+    b = table(spark, d, "block").where("text is not null")
+    n = lambda keep: F.length(F.regexp_replace("text", f"[^{keep}]", "")).cast("bigint")
+    b = b.select("block_id", n("A-Za-zÀ-ɏ").alias("latin"), n("Ѐ-ӿ぀-ヿ一-鿿").alias("other"))
+    return b.withColumn("stray", (F.col("latin") >= 20) & (F.col("other") > 0) & (F.col("other") <= 0.05 * (F.col("latin") + F.col("other"))))
+
+
+@query("SELECT scan_id, page_number, arg_min(text, (block_pos, block_id)) FILTER (text IS NOT NULL) AS first_text, bool_or(coalesce(uncertain, false)) AS doubt, count(*) AS blocks FROM block WHERE block_pos IS NOT NULL GROUP BY 1, 2")
+def page_meta(spark: SparkSession, d: str) -> DataFrame:
+    """PRJ18: first non-null text of a page, any doubt."""
+    b = table(spark, d, "block").where("block_pos is not null")
+    first = F.min_by("text", F.when(F.col("text").isNotNull(), F.struct("block_pos", "block_id")))
+    return b.groupBy("scan_id", "page_number").agg(first.alias("first_text"), F.bool_or(F.coalesce("uncertain", F.lit(False))).alias("doubt"), F.count("*").alias("blocks"))
+
+
+@query("SELECT form_id, round(sum(CASE WHEN regexp_matches(value, '^[0-9]+$') THEN 1.0 ELSE 0.0 END) / count(*), 6) AS share, count(*) AS n, count(DISTINCT key) AS keys FROM key_value GROUP BY 1")
+def form_stats(spark: SparkSession, d: str) -> DataFrame:
+    """AGG22: shares of hits by group."""
+    g = table(spark, d, "key_value").groupBy("form_id")
+    return g.agg(F.round(F.sum(F.coalesce(F.col("value").rlike("^[0-9]+$").cast("double"), F.lit(0.0))) / F.count("*"), 6).alias("share"), F.count("*").alias("n"), F.count_distinct("key").alias("keys"))
+
+
+@query("SELECT device_id, round(sum(seconds), 6) AS seconds, count(*) AS n, max(page_count) AS pages FROM scan GROUP BY 1")
+def scan_seconds(spark: SparkSession, d: str) -> DataFrame:
+    """AGG24."""
+    return table(spark, d, "scan").groupBy("device_id").agg(F.round(F.sum("seconds"), 6).alias("seconds"), F.count("*").alias("n"), F.max("page_count").alias("pages"))
+
+
+@query()
+def json_export(spark: SparkSession, d: str) -> DataFrame:
+    """SNK5, PRJ20: each page as JSON text with a signature of its content."""
+    b = table(spark, d, "block")
+    one = F.struct("block_pos", "type", "text", "level", "items", "ordered", "checked", "uncertain", "confidence")
+    pages = b.groupBy("scan_id", "page_number").agg(F.to_json(F.array_sort(F.collect_list(one))).alias("json"))
+    return pages.withColumn("signature", F.sha2("json", 256))
+
+
+@query()
+def visual_rows(spark: SparkSession, d: str) -> DataFrame:
+    """WIN8, LAY8."""
+    return layout.visual_rows(_page_lines(spark, d))
+
+
+@query()
+def layout_blocks(spark: SparkSession, d: str) -> DataFrame:
+    """LAY1, WIN10, WIN13, WIN14."""
+    return layout.layout(_page_lines(spark, d))
+
+
+@query()
+def form_fields(spark: SparkSession, d: str) -> DataFrame:
+    """STR6."""
+    return layout.form_fields(_page_lines(spark, d))
