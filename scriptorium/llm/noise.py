@@ -42,12 +42,14 @@ OF_WORDS = ("of", "von", "sur", "de", "di", "van", "из")
 
 _TABLE = str.maketrans(GLYPHS)
 _WORD = re.compile(r"[^\W_][\w+|!]*(?:['’-][^\W_][\w+|!]*)*")
+#: Stands between the items of a list when they pass to Python as one text.
+SEPARATOR = "\x1e\x1f"
 _MARK = re.compile(r"([-‐¬\xad])[ \t]*\n")
 _LEFT = re.compile(r"[^\W_][\w+|!]*$")
 _RIGHT = re.compile(r"[^\W_][\w+|!]*")
 _PAGE_LINE = re.compile(rf"[\s\-–—~\[\](|.]*(?:(?:{'|'.join(PAGE_WORDS)})\b\.?\s*)?(\d+|[lIO]\d*|[ivxlc]+)(?:\s*(?:/|{'|'.join(OF_WORDS)})\s*(?:\d+|[ivxlc]+))?[\s\-–—~\[\])|.]*", re.I)
 _FIGURE = re.compile(rf"(?:[$€£]|EUR|USD|GBP)? ?[\d{FIGURE_LETTERS}]+(?:[.,][\d{FIGURE_LETTERS}]+)*(?: ?(?:kg|€|%))?")
-_FIGURE_IN_TEXT = re.compile(rf"(?<![\w.,/+@-])(?=[\d{FIGURE_LETTERS}.]*\d)(?=[\d.]*[{FIGURE_LETTERS}])[\d{FIGURE_LETTERS}]+[.,][\d{FIGURE_LETTERS}]+(?= ?kg\b)")
+_FIGURE_IN_TEXT = re.compile(rf"(?=.*\d)(?=.*[{FIGURE_LETTERS}])[\d{FIGURE_LETTERS}]+[.,][\d{FIGURE_LETTERS}]+")
 _END = re.compile(r"[.!?:;…][\"'»”)\]]*\s*$")
 
 
@@ -69,19 +71,20 @@ def _tokens(text: str) -> list[str]:
 
 
 def word_counts(texts: DataFrame) -> DataFrame:
-    """word, n over the `text` column: partial counts per task, summed by word. Hot words are summed before the shuffle."""
+    """word, n over the `text` and `items` columns: partial counts per task, summed by word. Hot words are summed before the shuffle."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: Counter[str] = Counter()
         for b in batches:
             counts.update(_tokens("\n".join(t for t in b.column(0).to_pylist() if t)))
+            counts.update(_tokens("\n".join(x for x in b.column(1).to_pylist() if x)))
             if len(counts) > 500_000:  # a bound for memory: what is there goes out as a part
                 yield pa.RecordBatch.from_pydict({"word": list(counts), "n": list(counts.values())})
                 counts.clear()
         if counts:
             yield pa.RecordBatch.from_pydict({"word": list(counts), "n": list(counts.values())})
 
-    return texts.select("text").where("text is not null").mapInArrow(run, "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
+    return texts.select("text", "items").mapInArrow(run, "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
 
 
 class Lexicon:
@@ -98,6 +101,9 @@ class Lexicon:
                 self.main[k] = w
         self.counts = counts
         self.misread: dict[str, str | None] = {}
+        self.ok: set[str] = set()
+        self.bad: set[str] = set()
+        self.short: dict[tuple[str, bool], tuple[bool, bool]] = {}
 
     def known(self, w: str) -> bool:
         return fold(w) in self.counts
@@ -144,14 +150,10 @@ def lexicon(texts: DataFrame) -> list[tuple[str, int]]:
 
 
 def texts_of(block: DataFrame, cell: DataFrame) -> DataFrame:
-    """All texts the problem is about: blocks, list items, cells."""
+    """All texts the problem is about: blocks with their list items, and cells."""
     none = lambda t: F.lit(None).cast(t)
-    own = F.transform(F.coalesce("items", F.array().cast("array<string>")), lambda t, i: F.struct(t.alias("text"), i.cast("int").alias("item_pos")))
-    own = F.filter(own, lambda x: x["text"].isNotNull() & (x["text"] != ""))
-    itself = F.array(F.struct(F.coalesce("text", F.lit("")).alias("text"), F.lit(-1).alias("item_pos")))
-    blocks = block.select("block_id", "scan_id", "page_number", "block_pos", "type", F.inline(F.concat(itself, own)).alias("text", "item_pos"))
-    blocks = blocks.select(F.when(F.col("item_pos") < 0, "block").otherwise("item").alias("src"), F.col("block_id").alias("row_id"), "item_pos", "text", "scan_id", "page_number", "block_pos", "type")
-    cells = cell.where("text is not null and text != ''").select(F.lit("cell").alias("src"), F.col("cell_id").alias("row_id"), F.lit(-1).alias("item_pos"), "text", none("bigint").alias("scan_id"), none("int").alias("page_number"), none("int").alias("block_pos"), none("string").alias("type"))
+    blocks = block.select(F.lit("block").alias("src"), F.col("block_id").alias("row_id"), F.coalesce("text", F.lit("")).alias("text"), F.array_join("items", SEPARATOR, "").alias("items"), "scan_id", "page_number", "block_pos", "type")
+    cells = cell.where("text is not null and text != ''").select(F.lit("cell").alias("src"), F.col("cell_id").alias("row_id"), "text", none("string").alias("items"), none("bigint").alias("scan_id"), none("int").alias("page_number"), none("int").alias("block_pos"), none("string").alias("type"))
     return blocks.unionByName(cells)
 
 
@@ -242,32 +244,52 @@ _NOTE_DDL = (
 )
 
 
+def noise_in(text: str, page: int | None, lex: Lexicon) -> tuple[bool, bool]:
+    """(hyphen, misread) of a text."""
+    flat, hyphen = text, False
+    if "\n" in text and _MARK.search(text):
+        flat = joined(text, page, lex)
+        hyphen = len(flat) < len(text) or over_break(text, page, lex)
+    words = set(_WORD.findall(flat))
+    for w in words - lex.ok - lex.bad:
+        (lex.bad if any(lex.reading(x) for x in re.split("['’-]", w)) else lex.ok).add(w)
+    misread = not lex.bad.isdisjoint(words)
+    at = -1 if misread else flat.find("kg")
+    while at > 0 and not misread:
+        figure = (flat[max(0, at - 24) : at].split() or [""])[-1]
+        misread = bool(_FIGURE_IN_TEXT.fullmatch(figure))
+        at = flat.find("kg", at + 2)
+    return hyphen, misread
+
+
+def noise_in_short(text: str, lex: Lexicon, cell: bool) -> tuple[bool, bool]:
+    """The same of a list item or a cell; short texts repeat, so results are kept, up to a bound."""
+    key = (text, cell)
+    if (known := lex.short.get(key)) is not None:
+        return known
+    hyphen, misread = noise_in(text, None, lex)
+    if cell and not misread and any(c.isdigit() for c in text) and any(c in FIGURE_LETTERS for c in text):
+        t = text.strip()
+        misread = bool(_FIGURE.fullmatch(t)) and sum(c.isdigit() or c in FIGURE_LETTERS for c in t) > 1
+    if len(lex.short) > 200_000:
+        lex.short.clear()
+    lex.short[key] = hyphen, misread
+    return hyphen, misread
+
+
 def annotate_batch(b: pa.RecordBatch, lex: Lexicon) -> pa.RecordBatch:
-    """The notes of a batch of texts; texts without any and cells without noise give no row."""
-    out: dict[str, list] = {n: [] for n in _NOTE.names}
+    """The notes of a batch of blocks; items without noise give no row."""
+    rows: list[tuple] = []
     names = {n: i for i, n in enumerate(b.schema.names)}
-    cols = [b.column(names[n]).to_pylist() for n in ("src", "row_id", "item_pos", "text", "scan_id", "page_number", "block_pos", "type")]
-    ok: set[str] = lex.__dict__.setdefault("ok", set())
-    bad: set[str] = lex.__dict__.setdefault("bad", set())
-    for src, row_id, item_pos, text, scan, page, pos, kind in zip(*cols):
-        flat, hyphen = text, False
-        if "\n" in text and _MARK.search(text):
-            flat = joined(text, page, lex)
-            hyphen = len(flat) < len(text) or over_break(text, page, lex)
-        words = set(_WORD.findall(flat))
-        for w in words - ok - bad:
-            (bad if any(lex.reading(x) for x in re.split("['’-]", w)) else ok).add(w)
-        misread = not bad.isdisjoint(words)
-        if src == "cell":
-            if not misread and any(c in FIGURE_LETTERS for c in text) and any(c.isdigit() for c in text):
-                t = text.strip()
-                misread = bool(_FIGURE.fullmatch(t)) and sum(c.isdigit() or c in FIGURE_LETTERS for c in t) > 1
-            if not (hyphen or misread):
-                continue
-        elif not misread and "kg" in flat:
-            misread = bool(_FIGURE_IN_TEXT.search(flat))
-        page_no, heads, body, open_, tail, start, one = False, None, False, False, None, None, True
-        if src == "block" and page is not None and kind in ("paragraph", "heading"):
+    cols = [b.column(names[n]).to_pylist() for n in ("src", "row_id", "text", "items", "scan_id", "page_number", "block_pos", "type")]
+    rest_of = (None,) * 4 + (False, None, False, False, None, None, True)
+    for src, row_id, text, items, scan, page, pos, kind in zip(*cols):
+        for i, item in enumerate(items.split(SEPARATOR) if items else ()):
+            if item and any(found := noise_in_short(item, lex, False)):
+                rows.append(("item", row_id, i, *rest_of[:4], *found, *rest_of[4:]))
+        hyphen, misread = noise_in(text, page, lex) if text else (False, False)
+        page_no, heads, body, open_, tail, start, one = False, None, True, False, None, None, True
+        if page is not None and kind in ("paragraph", "heading"):
             lines = text.split("\n")
             one = len(lines) == 1
             at = [i for i, line in enumerate(lines) if len(line) <= 24 and page_line(line, page)] if kind == "paragraph" else []
@@ -277,9 +299,9 @@ def annotate_batch(b: pa.RecordBatch, lex: Lexicon) -> pa.RecordBatch:
             found = []
             if rest:
                 width = 0
-                for i in rest:
+                for i in [i for i in rest if i == 0 or lines[i][:1].isupper()]:
                     line = lines[i]
-                    if i > 0 and not line[:1].isupper() or i == 0 and pos and kind == "paragraph" and not one or len(line) > 120:
+                    if i == 0 and pos and kind == "paragraph" and not one or len(line) > 120:
                         continue
                     inner = False
                     if i > 0:
@@ -293,22 +315,18 @@ def annotate_batch(b: pa.RecordBatch, lex: Lexicon) -> pa.RecordBatch:
                             found += [(i, k, p, numbered) for k in head_keys(bare)]
                 last = lines[rest[-1]].rstrip()
                 open_ = kind == "paragraph" and not _END.search(last)
-                m = re.search(r"([^\W_][\w+|!]*)([-‐¬\xad])$", last)
-                tail = m[1] + m[2] if m else ""
-                m = re.match(r"[^\W_][\w+|!]*", lines[rest[0]].lstrip())
-                start = "\n".join((m[0] if m else "", (re.match(r"\s*([^\W_][\w+|!]*)", lines[rest[1]]) or [""])[0].strip() if len(rest) > 1 else ""))
+                if open_ and last[-1:] in "-‐¬\xad" and (m := re.search(r"([^\W_][\w+|!]*)([-‐¬\xad])$", last)):
+                    tail = m[1] + m[2]
+                first = [_RIGHT.match(lines[i].lstrip()) for i in rest[:2]]
+                start = "\n".join(m[0] if m else "" for m in first)
             heads = [dict(zip(("line", "key", "page", "numbered"), f)) for f in found]
-        elif src == "block":
-            body = True
-        if src == "item" and not (hyphen or misread):
-            continue
-        for n, v in zip(out, (src, row_id, item_pos, scan, page, pos, kind, hyphen, misread, page_no, heads, body, open_, tail, start, one)):
-            out[n].append(v)
-    return pa.RecordBatch.from_pydict(out, schema=_NOTE)
+        rows.append((src, row_id, -1, scan, page, pos, kind, hyphen, misread, page_no, heads, body, open_, tail, start, one))
+    cols = list(zip(*rows)) if rows else [[]] * len(_NOTE.names)
+    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, _NOTE)], schema=_NOTE)
 
 
 def annotate(texts: DataFrame, words: list[tuple[str, int]]) -> DataFrame:
-    """Notes of all texts (see annotate_batch), with the lexicon broadcast once."""
+    """Notes of all blocks (see annotate_batch), with the lexicon broadcast once."""
     shared = texts.sparkSession.sparkContext.broadcast(words)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -316,7 +334,23 @@ def annotate(texts: DataFrame, words: list[tuple[str, int]]) -> DataFrame:
         for b in batches:
             yield annotate_batch(b, lex)
 
-    return texts.mapInArrow(run, _NOTE_DDL)
+    return texts.where("src = 'block'").mapInArrow(run, _NOTE_DDL)
+
+
+def annotate_cells(texts: DataFrame, words: list[tuple[str, int]]) -> DataFrame:
+    """src, row_id, item_pos, hyphen, misread of the cells with noise; cells without a letter can have none."""
+    shared = texts.sparkSession.sparkContext.broadcast(words)
+    names = ["src", "row_id", "item_pos", "hyphen", "misread"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lex = _lexicon(shared)
+        for b in batches:
+            rows = [("cell", i, -1, *f) for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()) if any(f := noise_in_short(t, lex, True))]
+            cols = list(zip(*rows)) if rows else [[]] * 5
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.string(), pa.int64(), pa.int32(), pa.bool_(), pa.bool_()))], names)
+
+    lettered = texts.where("src = 'cell' and upper(text) <> lower(text)").select("row_id", "text")
+    return lettered.mapInArrow(run, "src string, row_id bigint, item_pos int, hyphen boolean, misread boolean")
 
 
 _BUILT: dict[int, Lexicon] = {}
@@ -397,9 +431,11 @@ def find(block: DataFrame, cell: DataFrame) -> DataFrame:
     Null and empty texts hold no noise; repeated rows count once per id; empty tables give no rows; extra columns are
     ignored. Blocks without scan or page can't have header, page_no or carry.
     """
-    _, words, notes = _prepared(block, cell)
+    texts, words, notes = _prepared(block, cell)
     head, carry = structure(notes, words)
-    flags = notes.selectExpr("src", "row_id", "item_pos", "stack(3, 'hyphen', hyphen, 'misread', misread, 'page_no', page_no) as (kind, there)").where("there").drop("there")
+    cells = annotate_cells(texts, words).withColumn("page_no", F.lit(False))
+    flags = notes.select("src", "row_id", "item_pos", "hyphen", "misread", "page_no").unionByName(cells)
+    flags = flags.selectExpr("src", "row_id", "item_pos", "stack(3, 'hyphen', hyphen, 'misread', misread, 'page_no', page_no) as (kind, there)").where("there").drop("there")
     row = lambda df, kind: df.select(F.lit("block").alias("src"), "row_id", F.lit(-1).alias("item_pos"), F.lit(kind).alias("kind"))
     parts = [flags, row(head, "header"), row(head.where("numbered"), "page_no"), row(carry, "carry"), row(carry.where("hyphen"), "hyphen")]
     out = parts[0]
@@ -434,16 +470,20 @@ def repair(block: DataFrame, cell: DataFrame) -> DataFrame:
     texts, words, notes = _prepared(block, cell)
     head, carry = structure(notes, words)
     shared = texts.sparkSession.sparkContext.broadcast(words)
-    lines = head.groupBy("row_id").agg(F.collect_set("line").alias("lines")).select(F.lit("block").alias("src"), "row_id", F.lit(-1).alias("item_pos"), "lines")
+    lines = head.groupBy("row_id").agg(F.collect_set("line").alias("lines")).select(F.lit("block").alias("src"), "row_id", "lines")
     schema = "src string, row_id bigint, item_pos int, text string"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lex = _lexicon(shared)
         for b in batches:
-            text = [repair_text(t, lex, p, ls or [], k == "paragraph") for t, p, k, ls in zip(*(b.column(i).to_pylist() for i in range(3, 7)))]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(text, pa.string())], ["src", "row_id", "item_pos", "text"])
-
-    clean = texts.join(lines, ["src", "row_id", "item_pos"], "left").select("src", "row_id", "item_pos", "text", "page_number", "type", "lines").mapInArrow(run, schema)
+            rows = []
+            for src, row_id, text, items, page, kind, ls in zip(*(c.to_pylist() for c in b.columns)):
+                rows.append((src, row_id, -1, repair_text(text, lex, page, ls or [], kind == "paragraph")))
+                rows += [("item", row_id, i, repair_text(x, lex, None, [], False)) for i, x in enumerate(items.split(SEPARATOR) if items else ()) if x]
+            cols = list(zip(*rows)) if rows else [[]] * 4
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.string(), pa.int64(), pa.int32(), pa.string()))], ["src", "row_id", "item_pos", "text"])
+
+    clean = texts.join(lines, ["src", "row_id"], "left").select("src", "row_id", "text", "items", "page_number", "type", "lines").mapInArrow(run, schema)
     w = W.partitionBy("scan_id").orderBy("page_number")
     chain = carry.withColumn("_new", F.when(F.lag("next_id").over(w) == F.col("row_id"), 0).otherwise(1))
     chain = chain.withColumn("_chain", F.sum("_new").over(w.rowsBetween(W.unboundedPreceding, 0))).withColumn("_root", F.first("row_id").over(W.partitionBy("scan_id", "_chain").orderBy("page_number")))
