@@ -83,7 +83,9 @@ def scored(sentence: str) -> tuple[str, int]:
 
 def _hashes(codes: np.ndarray, order: int) -> np.ndarray:
     """Hash of each window of `order` codes."""
-    h = np.full(max(0, len(codes) - order + 1), order, np.uint64)
+    if len(codes) < order:
+        return np.zeros(0, np.uint64)
+    h = np.full(len(codes) - order + 1, order, np.uint64)
     with np.errstate(over="ignore"):
         for k in range(order):
             h = (h ^ codes[k : len(codes) - order + 1 + k]) * np.uint64(0x9E3779B97F4A7C15)
