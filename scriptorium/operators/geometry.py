@@ -184,3 +184,29 @@ def tiles(pages: DataFrame, grid: int, overlap: float) -> DataFrame:
     t = pages.withColumn("r", F.explode(cell)).withColumn("c", F.explode(cell))
     edge = lambda size, i, far: F.least(F.col(size), F.floor((F.col(i) + 1) * F.col(size) / grid + F.col(size) / grid * overlap)) if far else F.greatest(F.lit(0), F.floor(F.col(i) * F.col(size) / grid - F.col(size) / grid * overlap))
     return t.select("page", "r", "c", edge("width", "c", False).cast("bigint").alias("x0"), edge("height", "r", False).cast("bigint").alias("y0"), edge("width", "c", True).cast("bigint").alias("x1"), edge("height", "r", True).cast("bigint").alias("y1"))
+
+
+def size_groups(values: DataFrame, keys: list[str], value: str, factor: float) -> DataFrame:
+    """group (its first value) of each value: a value joins while it is at most `factor` times the first of the group (WIN5)."""
+    fold = F.aggregate(
+        F.sort_array(F.collect_set(value)), F.array().cast("array<bigint>"),
+        lambda acc, x: F.when((F.size(acc) == 0) | (x > F.try_element_at(acc, F.lit(-1)) * factor), F.concat(acc, F.array(x))).otherwise(acc),
+    )
+    return values.groupBy(*keys).agg(fold.alias("_g")).select(*keys, F.explode("_g").alias("first"))
+
+
+def cuts(fixed: DataFrame, loose: DataFrame, tol: int) -> DataFrame:
+    """page, x: the fixed cuts, and each loose one that is more than tol from all cuts taken before it (WIN7, SET4)."""
+    f = fixed.groupBy("page").agg(F.sort_array(F.collect_set("x")).alias("_f"))
+    g = loose.groupBy("page").agg(F.sort_array(F.collect_set("x")).alias("_l")).join(f, "page", "left")
+    taken = F.aggregate(F.col("_l"), F.coalesce("_f", F.array().cast("array<bigint>")), lambda acc, x: F.when(F.exists(acc, lambda c: F.abs(c - x) <= tol), acc).otherwise(F.concat(acc, F.array(x))))
+    return g.select("page", F.explode(taken).alias("x"))
+
+
+def bands(rows: DataFrame, keys: list[str], order: str, value: str) -> DataFrame:
+    """triples, flips and whether the rows alternate: at least four triples, three quarters of which change sign (AGG21)."""
+    w = W.partitionBy(*keys).orderBy(order)
+    d1, d2 = F.col(value) - F.lag(value).over(w), F.lag(value).over(w) - F.lag(value, 2).over(w)
+    t = rows.withColumn("_a", d1).withColumn("_b", d2).where("_a is not null and _b is not null")
+    g = t.groupBy(*keys).agg(F.count("*").alias("triples"), F.sum((F.col("_a") * F.col("_b") < 0).cast("bigint")).alias("flips"))
+    return g.withColumn("banded", (F.col("triples") >= 4) & (F.col("flips") * 4 >= F.col("triples") * 3))

@@ -548,6 +548,95 @@ def scan_seconds(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "scan").groupBy("device_id").agg(F.round(F.sum("seconds"), 6).alias("seconds"), F.count("*").alias("n"), F.max("page_count").alias("pages"))
 
 
+@query(f"""WITH {V.MARKS}{V.BOXES} SELECT page, id, round(sqrt(CAST((x1 - x0) * (x1 - x0) + (y1 - y0) * (y1 - y0) AS DOUBLE)), 6) AS diagonal, round(degrees(atan2(CAST(y1 - y0 AS DOUBLE), CAST(x1 - x0 AS DOUBLE))), 6) AS angle, (x0 + x1) / 2 AS cx, (y0 + y1) / 2 AS cy FROM boxes""")
+def box_geometry(spark: SparkSession, d: str) -> DataFrame:
+    """PRJ6, PRJ7, PRJ11: centre, diagonal and angle of boxes."""
+    w, h = F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0")
+    return V.boxes(spark, d).select("page", "id", F.round(F.hypot(w, h), 6).alias("diagonal"), F.round(F.degrees(F.atan2(h.cast("double"), w.cast("double"))), 6).alias("angle"), ((F.col("x0") + F.col("x1")) / 2).alias("cx"), ((F.col("y0") + F.col("y1")) / 2).alias("cy"))
+
+
+@query(f"WITH {V.MARKS}{V.BOXES} SELECT page, min(x0) AS x0, min(y0) AS y0, max(x1) AS x1, max(y1) AS y1, arg_max(id, ((x1 - x0) * (y1 - y0), -id)) AS largest FROM boxes GROUP BY 1")
+def union_boxes(spark: SparkSession, d: str) -> DataFrame:
+    """PRJ9, AGG18, AGG19: the union of a page's boxes and its largest box, the first of equals."""
+    area = (F.col("x1") - F.col("x0")) * (F.col("y1") - F.col("y0"))
+    return V.boxes(spark, d).groupBy("page").agg(F.min("x0").alias("x0"), F.min("y0").alias("y0"), F.max("x1").alias("x1"), F.max("y1").alias("y1"), F.max_by("id", F.struct(area, -F.col("id"))).alias("largest"))
+
+
+@query(f"WITH {V.MARKS}{V.BOXES} SELECT page, id, k FROM (SELECT page, id, row_number() OVER (PARTITION BY page ORDER BY (x1 - x0) * (y1 - y0) DESC, id) AS k FROM boxes) WHERE k <= 5")
+def top_boxes(spark: SparkSession, d: str) -> DataFrame:
+    """SRT4: the five largest are the feature."""
+    from pyspark.sql import Window as W
+
+    k = F.row_number().over(W.partitionBy("page").orderBy(F.desc((F.col("x1") - F.col("x0")) * (F.col("y1") - F.col("y0"))), "id"))
+    return V.boxes(spark, d).select("page", "id", k.cast("bigint").alias("k")).where("k <= 5")
+
+
+@query(f"WITH {V.MARKS}, {_IN_GRID} SELECT g.page, count(DISTINCT g.r) AS n, count(DISTINCT t.r) AS filled, count(DISTINCT t.r) * 10 >= count(DISTINCT g.r) * 7 AS kept FROM grows g LEFT JOIN taken t ON t.page = g.page AND t.r = g.r GROUP BY 1")
+def kept_grids(spark: SparkSession, d: str) -> DataFrame:
+    """FLT5: a grid is kept if text stands in 70 per cent of its rows."""
+    cols, rows = V.grid(spark, d)
+    taken = geometry.grid_cells(V.marks(spark, d), cols, rows).select("page", "r").distinct().withColumn("_t", F.lit(True))
+    g = rows.select("page", "r").join(taken, ["page", "r"], "left").groupBy("page").agg(F.count("*").alias("n"), F.count("_t").alias("filled"))
+    return g.withColumn("kept", F.col("filled") * 10 >= F.col("n") * 7)
+
+
+@query(f"WITH {V.MARKS}, t AS (SELECT page, x - lag(x) OVER w AS a, lag(x) OVER w - lag(x, 2) OVER w AS b FROM marks WINDOW w AS (PARTITION BY page ORDER BY id)) SELECT page, count(*) AS triples, CAST(count(*) FILTER (a * b < 0) AS BIGINT) AS flips, count(*) >= 4 AND count(*) FILTER (a * b < 0) * 4 >= count(*) * 3 AS banded FROM t WHERE a IS NOT NULL AND b IS NOT NULL GROUP BY 1")
+def row_bands(spark: SparkSession, d: str) -> DataFrame:
+    """AGG21."""
+    return geometry.bands(V.marks(spark, d), ["page"], "id", "x")
+
+
+@query(f"WITH RECURSIVE {V.MARKS}, v AS (SELECT DISTINCT page, x + 10 AS x FROM marks), a(page, first) AS (SELECT page, min(x) FROM v GROUP BY 1 UNION ALL SELECT a.page, (SELECT min(x) FROM v WHERE v.page = a.page AND v.x > a.first * 1.5) FROM a WHERE EXISTS (SELECT 1 FROM v WHERE v.page = a.page AND v.x > a.first * 1.5)) SELECT page, first FROM a")
+def size_groups(spark: SparkSession, d: str) -> DataFrame:
+    """WIN5."""
+    return geometry.size_groups(V.marks(spark, d).withColumn("x", F.col("x") + 10), ["page"], "x", 1.5)
+
+
+@query(f"WITH {V.LINES} SELECT block_id, line, ltext AS candidate FROM lines UNION ALL SELECT block_id, line, ltext || ' ' || n FROM (SELECT *, lead(ltext) OVER (PARTITION BY block_id ORDER BY line) AS n FROM lines) WHERE n IS NOT NULL")
+def candidate_lines(spark: SparkSession, d: str) -> DataFrame:
+    """WIN19, SET1: lines, and each line with the next."""
+    from pyspark.sql import Window as W
+
+    ln = V.lines(spark, d)
+    pair = ln.withColumn("_n", F.lead("ltext").over(W.partitionBy("block_id").orderBy("line"))).where("_n is not null")
+    return ln.select("block_id", "line", F.col("ltext").alias("candidate")).unionByName(pair.select("block_id", "line", F.concat_ws(" ", "ltext", "_n").alias("candidate")))
+
+
+@query("""SELECT scan_id, n < 5 OR m < 0.75 AS hard, n, m FROM (SELECT scan_id, count(*) AS n, l[len(l) // 2 + 1] AS m FROM (SELECT scan_id, list(confidence ORDER BY confidence) AS l, count(*) AS k FROM block WHERE confidence IS NOT NULL GROUP BY 1) JOIN (SELECT scan_id FROM block WHERE confidence IS NOT NULL) USING (scan_id) GROUP BY scan_id, l)""")
+def hard_scans(spark: SparkSession, d: str) -> DataFrame:
+    """FLT15: few blocks or a low upper median of confidence."""
+    b = table(spark, d, "block").where("confidence is not null").select("scan_id", "confidence")
+    g = b.groupBy("scan_id").agg(F.count("*").alias("n")).join(geometry.upper_median(b, ["scan_id"], "confidence"), "scan_id")
+    return g.select("scan_id", ((F.col("n") < 5) | (F.col("median") < 0.75)).alias("hard"), "n", F.col("median").alias("m"))
+
+
+@query(rf"""WITH o AS (SELECT block_id, CASE WHEN coalesce(page_number, 1) = 1 THEN '' ELSE 'P' || page_number || ' ' END || 'Table ' || row_number() OVER (PARTITION BY scan_id, page_number ORDER BY block_pos NULLS FIRST, block_id) AS sheet FROM block WHERE type = 'table' AND block_id IN (SELECT block_id FROM cell)),
+n AS (SELECT cell_id, regexp_matches(s, '{NUM}') AND NOT (length(regexp_extract(s, '{NUM}', 3)) > 1 AND regexp_extract(s, '{NUM}', 3) LIKE '0%') AND length(replace(regexp_extract(s, '{NUM}', 3), ',', '')) <= 15 AS num FROM (SELECT cell_id, {_STRIP.format("coalesce(text, '')")} AS s FROM cell))
+SELECT c.block_id, sheet, c.row_pos + 1 AS r, c.col_pos + 1 AS c, CASE WHEN num THEN 'number' WHEN coalesce(text, '') LIKE '=%' THEN 'quoted' ELSE 'text' END AS kind, coalesce(c.uncertain, false) AS note FROM cell c JOIN o USING (block_id) JOIN n USING (cell_id)""")
+def sheet_plan(spark: SparkSession, d: str) -> DataFrame:
+    """SNK6, SNK7: where each cell goes in a workbook and how it is written; never as a live formula."""
+    c = table(spark, d, "cell")
+    o = model.table_ordinals(table(spark, d, "block"), c)
+    page = F.when(F.coalesce("page_number", F.lit(1)) == 1, "").otherwise(F.concat(F.lit("P"), F.col("page_number"), F.lit(" ")))
+    o = o.select("block_id", F.concat(page, F.lit("Table "), F.col("n").cast("string")).alias("sheet"))
+    value, _ = T.typed_number(F.coalesce("text", F.lit("")))
+    kind = F.when(value.isNotNull(), "number").when(F.col("text").startswith("="), "quoted").otherwise("text")
+    return c.join(o, "block_id").select("block_id", "sheet", (F.col("row_pos") + 1).alias("r"), (F.col("col_pos") + 1).alias("c"), kind.alias("kind"), F.coalesce("uncertain", F.lit(False)).alias("note"))
+
+
+@query(f"WITH {V.MARKS}{V.BOXES} SELECT x0, x1, CASE WHEN abs((50 - x0 % 100) - (x1 % 100 - 50)) <= 5 THEN 'center' WHEN x0 % 100 < 100 - x1 % 100 THEN 'left' ELSE 'right' END AS align, page, id FROM boxes")
+def cell_alignment(spark: SparkSession, d: str) -> DataFrame:
+    """PRJ23: by the margins in a column 100 wide."""
+    left, right = F.col("x0") % 100, 100 - F.col("x1") % 100
+    return V.boxes(spark, d).select("page", "id", "x0", "x1", F.when(F.abs((50 - left) - (50 - right)) <= 5, "center").when(left < right, "left").otherwise("right").alias("align"))
+
+
+@query("SELECT scan_id, coalesce(title, strftime(created, '%Y-%m-%d %H%M')) AS name FROM scan WHERE created IS NOT NULL")
+def default_names(spark: SparkSession, d: str) -> DataFrame:
+    """PRJ19: a scan without a title is named by its time."""
+    return table(spark, d, "scan").where("created is not null").select("scan_id", F.coalesce("title", F.date_format("created", "yyyy-MM-dd HHmm")).alias("name"))
+
+
 @query()
 def json_export(spark: SparkSession, d: str) -> DataFrame:
     """SNK5, PRJ20: each page as JSON text with a signature of its content."""

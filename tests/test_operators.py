@@ -67,3 +67,11 @@ def test_grid_half_open(spark):
     rws = spark.createDataFrame([(1, 0, 0, 10), (1, 1, 10, 20)], "page bigint, r bigint, y0 bigint, y1 bigint")
     taken = G.grid_cells(p, cols, rws)
     assert rows(taken, "id") == [(1,)] and rows(G.empty_cells(cols, rws, taken), "r") == [(1,)]
+
+
+def test_cuts_and_bands(spark):
+    f = spark.createDataFrame([(1, 0), (1, 100)], "page int, x bigint")
+    loose = spark.createDataFrame([(1, x) for x in (3, 20, 24, 28, 99)] + [(2, 5)], "page int, x bigint")
+    assert rows(G.cuts(f, loose, 5), "page", "x") == [(1, 0), (1, 20), (1, 28), (1, 100), (2, 5)]
+    b = spark.createDataFrame([(1, i, i % 2) for i in range(8)] + [(2, i, i) for i in range(8)], "page int, i int, v int")
+    assert rows(G.bands(b, ["page"], "i", "v"), "page", "banded") == [(1, True), (2, False)]
