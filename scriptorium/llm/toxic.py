@@ -3,7 +3,7 @@
 A two-label chain (T toxic, O other) is trained on labelled sentences, whose tokens take the sentence's label; some pairs of
 sentences teach it where spans begin and end; sentences are chains of their own. A bounded sample of the corpus's own sentences, nearly all of them
 harmless, stands beside them as label O. Evidence of a token: its word, its first letters, the words beside it, and whether
-the word is rare, that is, absent from another part of that sample.
+the word is rare, that is, found in few documents. Words and sentences are counted over all documents, equal texts once.
 Forward-backward marginals give spans with offsets; a document's score is that of its strongest span.
 
 Texts are read as typesetting markup: macros defined in the text are expanded where used, comments and disabled parts are
@@ -26,20 +26,22 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scriptorium.llm.sampling import by_hash
-
 #: Labelled rows used for training at most (by hash of the text); the sample table is far smaller.
 MAX_LABELLED = 20_000
-#: Documents sampled (by hash of the id) for harmless sentences and for the vocabulary that tells rare words.
+#: Distinct texts sampled (by hash of the text) for harmless sentences.
 BACKGROUND = 2_500
-#: A word is usual if at least this share of the sampled documents has it.
+#: A word is usual if at least this share of the distinct texts has it.
 USUAL = 0.006
-#: A sentence said alike in this share of the sampled documents is a usual one, even with rare words.
+#: A sentence said alike in this share of the distinct texts is a usual one, even with rare words.
 ALIKE = 0.0011
+#: Sentences and words counted in memory before the counts are handed on.
+HELD = 200_000
 #: Pairs of sentences joined without a mark, from which the chain learns where spans begin and end.
 JOINED = 300
 #: Sentences of the sample taken as harmless in training.
 HARMLESS = 2_500
+#: Parts of the labelled sentences, each judged by a chain of the others.
+FOLDS = 3
 #: Tokens belong to a span if P(T) is at least this, and a document counts if its score is. Sentences are offending seldom,
 #: but missed ones weigh as much as false ones.
 THRESHOLD = 0.42
@@ -234,99 +236,176 @@ def sentences(text: str) -> list[list[str]]:
     return [s for s in out if len(s) > 1]
 
 
-def fit(rows: list[tuple[str, int]], background: list[str] = (), rounds: int = 2, steps: int = 70) -> Chain:
-    """Train on (text, label) and on harmless texts: penalised log-likelihood by gradient ascent over sentences. After the first round, sentences that the chain clearly contradicts are taken as wrongly labelled and left
-    out."""
+class Counts:
+    """In how many of the texts given each normal word and each sentence (its first 40 normal words) stands."""
+
+    def __init__(self, words: Words):
+        self.normal, self.texts = words.normal, 0
+        self.words: dict[str, int] = {}
+        self.sents: dict[str, int] = {}
+
+    def add(self, text: str) -> None:
+        self.texts += 1
+        said = [[self.normal(t) for t in s] for s in sentences(text)]
+        for w in {w for s in said for w in s}:
+            self.words[w] = self.words.get(w, 0) + 1
+        for k in {" ".join(s[:40]) for s in said}:
+            self.sents[k] = self.sents.get(k, 0) + 1
+
+
+def often(n: int) -> tuple[int, int]:
+    """Of n distinct texts, how many a usual word stands in, and how many a sentence said alike."""
+    return max(2, round(USUAL * n)), max(3, round(ALIKE * n))
+
+
+def labelled(rows: list[tuple[str, int]]) -> tuple[list[tuple[list[str], int]], set[str]]:
+    """The tokens of each labelled sentence with what it is called most often, and their words."""
     votes: dict[str, list[int]] = {}
     for t, y in rows:
         votes.setdefault(t, [0, 0])[y] += 1
-    rows = sorted((t, int(b > a)) for t, (a, b) in votes.items())  # what a sentence is called most often
+    rows = sorted((t, int(b > a)) for t, (a, b) in votes.items())
     cleaned = [([x for x in _TOKEN.findall(clean(t)) if x not in STOPS], y) for t, y in rows]
-    words = Words({t.lower() for toks, _ in cleaned for t in toks if t.isalpha()})
-    half = len(background) // 2
-    said = [sentences(t) for t in background]
-    counts: dict[str, int] = {}
-    for t in said[half:]:
-        for w in {words.normal(x) for s in t for x in s}:
-            counts[w] = counts.get(w, 0) + 1
-    least = max(2, round(USUAL * half))
-    words.usual = {w for w, n in counts.items() if n >= least}
+    return cleaned, {t.lower() for toks, _ in cleaned for t in toks if t.isalpha()}
+
+
+def fit(rows: list[tuple[str, int]], background: list[str] = (), rounds: int = 2, steps: int = 70, counted: tuple[set[str], list[str]] | None = None) -> Chain:
+    """Train on (text, label) and on harmless texts: penalised log-likelihood by gradient ascent over sentences. In every round but the last, sentences clearly contradicted by the chain of the other FOLDS - 1
+    parts of the labelled sentences are taken as wrongly labelled and left out, unless it has no weight for a sixth of their words. `counted` has the usual words and the sentences said alike of all documents; without it those of `background`."""
+    cleaned, known = labelled(rows)
+    words = Words(known)
+    background = sorted(set(background))
+    if counted is None:
+        c = Counts(words)
+        for t in background:
+            c.add(t)
+        word, sent = often(c.texts)
+        counted = {w for w, n in c.words.items() if n >= word}, [k for k, n in c.sents.items() if n >= sent]
+    words.usual = counted[0]
     sents = [([words.normal(t) for t in toks], y) for toks, y in cleaned if toks]
-    times: dict[tuple[str, ...], int] = {}
-    for t in said:
-        for k in {tuple(words.normal(x) for x in s[:40]) for s in t}:
-            times[k] = times.get(k, 0) + 1
-    common = max(4, round(2 * ALIKE * len(background)))
-    if background:  # a sentence of usual words alone, or said in many documents, is no passage, whatever its label says
-        sents = [(s, y) for s, y in sents if not y or any(rarely(w) and w not in words.usual for w in s) and times.get(tuple(s[:40]), 0) < common]
-    calm = sorted(times, key=lambda s: zlib.crc32(" ".join(s).encode()))
+    by_crc = lambda keys: [k.split(" ") for k in sorted(keys, key=lambda k: (zlib.crc32(k.encode()), k))]
     rare = lambda s: sum(rarely(w) and w not in words.usual for w in s)
-    # harmless: without unusual words, or said alike in several documents
+    # harmless: without unusual words, or said alike in several documents; never what is labelled toxic
     told = {w for s, y in sents if y for w in s if rarely(w) and w not in words.usual}
-    alike = [s for s in calm if rare(s) and times[s] >= max(3, round(ALIKE * len(background))) and sum(w in told for w in s) < 2]
-    harmless = [(list(s), 0) for s in alike * 8 + [s for s in calm if rare(s) < 2][:HARMLESS]]
+    toxic = {" ".join(s[:40]) for s, y in sents if y}
+    alike = [s for s in by_crc(set(counted[1]) - toxic) if rare(s) and sum(w in told for w in s) < 2]
+    calm = by_crc({" ".join([words.normal(x) for x in s[:40]]) for t in background for s in sentences(t)})
+    harmless = [(s, 0, 8) for s in alike] + [(s, 0, 1) for s in [s for s in calm if rare(s) < 2][:HARMLESS]]
     chain = Chain({}, -1.0, [[1.0, -2.0], [-2.0, 1.0]], words)
-    for r in range(rounds if sents else 0):
-        rng = np.random.default_rng(11 + r)
-        pool = sents * 6 + harmless
-        flat = [(w, [y] * len(w)) for w, y in pool]
-        for i, k in zip(rng.integers(len(sents), size=JOINED), rng.integers(len(pool), size=JOINED)):  # two without a mark in between
-            parts = [sents[i], pool[k]][:: 1 if rng.random() < 0.5 else -1]
-            flat.append(([x for s, _ in parts for x in s][:60], [y for s, y in parts for _ in s][:60]))
-        n, width = len(flat), max(len(w) for w, _ in flat)
-        index: dict[str, int] = {}
-        rr, cc = [], []
-        y, there = np.zeros((n, width), int), np.zeros((n, width), bool)
-        for i, (w, lab) in enumerate(flat):
-            y[i, : len(w)], there[i, : len(w)] = lab, True
-            for j in range(len(w)):
-                for f in features(w, j, words.usual):
-                    rr.append(i * width + j)
-                    cc.append(index.setdefault(f, len(index)))
-        rr, cc = np.array(rr), np.array(cc)
-        ridge = np.array([0.02 if f == "~rare" else 4.0 if "|" in f else 0.5 for f in index])
-        w, b, a = np.zeros(len(index)), -0.5, np.array([[1.0, -1.0], [-1.0, 1.0]])
-        m, v = np.zeros(len(w) + 5), np.zeros(len(w) + 5)
-        pair = np.zeros((2, 2))
-        both = there[:, 1:] & there[:, :-1]
-        np.add.at(pair, (y[:, :-1][both], y[:, 1:][both]), 1)
-        for k in range(1, steps + 1):
-            e = np.bincount(rr, w[cc], n * width)
-            e = np.clip(e.reshape(n, width) + b, -30, 30)
-            ex, step = np.exp(e), np.exp(a)
-            fwd, bwd, c = np.ones((width, n, 2)), np.ones((width, n, 2)), np.ones((width, n))
-            for t in range(width):
-                x = (fwd[t - 1] @ step if t else np.ones((n, 2))) * np.stack([np.ones(n), ex[:, t]], 1)
-                c[t] = np.where(there[:, t], x.sum(1), 1.0)
-                fwd[t] = np.where(there[:, t, None], x / c[t][:, None], fwd[t - 1] if t else 1.0)
-            for t in range(width - 1, 0, -1):
-                x = (bwd[t] * np.stack([np.ones(n), ex[:, t]], 1)) @ step.T / c[t][:, None]
-                bwd[t - 1] = np.where(there[:, t, None], x, bwd[t])
-            p = fwd * bwd
-            p = (p[..., 1] / p.sum(-1)).T * there
-            ahead = bwd[1:] * np.stack([np.ones((width - 1, n)), ex.T[1:]], -1) / c[1:, :, None]
-            joint = fwd[:-1, :, :, None] * step[None, None] * ahead[:, :, None, :]
-            joint = (joint / joint.sum((2, 3), keepdims=True)).transpose(1, 0, 2, 3)
-            g = np.zeros(len(w) + 5)
-            d = ((y - p) * there).ravel()
-            g[: len(w)] = np.bincount(cc, d[rr], len(w)) - ridge * w
-            g[len(w)] = d.sum() - b
-            g[len(w) + 1 :] = (pair - (joint * both[..., None, None]).sum((0, 1))).ravel() - a.ravel()
-            m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
-            up = 0.12 * (m / (1 - 0.9**k)) / (np.sqrt(v / (1 - 0.99**k)) + 1e-6)
-            w, b, a = w + up[: len(w)], b + up[len(w)], a + up[len(w) + 1 :].reshape(2, 2)
-        chain = Chain({f: float(w[i]) for f, i in index.items() if abs(w[i]) > 0.01}, float(b), a.tolist(), words)
-        kept = [(s, y) for s, y in sents if abs(y - float(np.mean(chain.marginals(s)))) < 0.9]
-        sents = kept if r + 1 < rounds else sents
-    return chain
+    if not sents:
+        return chain
+    fold = [zlib.crc32(" ".join(s).encode()) % FOLDS for s, _ in sents]
+    for r in range(rounds - 1):
+        kept = []
+        for k in range(FOLDS):
+            rest = [x for x, f in zip(sents, fold) if f != k]
+            judge = _ascend(rest, harmless, words, 11 + r, steps) if rest else chain
+            new = lambda s, seen=judge.weights: sum(rarely(w) and w not in seen for w in s)
+            kept += [((s, y), k) for (s, y), f in zip(sents, fold) if f == k and (not rest or 6 * new(s) >= len(s) or abs(y - float(np.mean(judge.marginals(s)))) < 0.9)]
+        sents, fold = [x for x, _ in kept] or sents, [k for _, k in kept] or fold
+    return _ascend(sents, harmless, words, 10 + rounds, steps)
+
+
+def _ascend(sents: list[tuple[list[str], int]], harmless: list[tuple[list[str], int, int]], words: Words, seed: int, steps: int) -> Chain:
+    """The chain of labelled sentences, six times each, and of harmless ones as often as they say."""
+    rng = np.random.default_rng(seed)
+    pool = [(s, y, 6) for s, y in sents] + harmless
+    flat = [(w, [y] * len(w)) for w, y, _ in pool]
+    often = np.array([float(n) for *_, n in pool] + [1.0] * JOINED)
+    for i, k in zip(rng.integers(len(sents), size=JOINED), rng.choice(len(pool), JOINED, p=often[: len(pool)] / often[: len(pool)].sum())):  # two without a mark in between
+        parts = [sents[i], pool[k][:2]][:: 1 if rng.random() < 0.5 else -1]
+        flat.append(([x for s, _ in parts for x in s][:60], [y for s, y in parts for _ in s][:60]))
+    n, width = len(flat), max(len(w) for w, _ in flat)
+    index: dict[str, int] = {}
+    rr, cc = [], []
+    y, there = np.zeros((n, width), int), np.zeros((n, width), bool)
+    for i, (w, lab) in enumerate(flat):
+        y[i, : len(w)], there[i, : len(w)] = lab, True
+        for j in range(len(w)):
+            for f in features(w, j, words.usual):
+                rr.append(i * width + j)
+                cc.append(index.setdefault(f, len(index)))
+    rr, cc = np.array(rr), np.array(cc)
+    ridge = np.array([0.02 if f == "~rare" else 4.0 if "|" in f else 0.5 for f in index])
+    w, b, a = np.zeros(len(index)), -0.5, np.array([[1.0, -1.0], [-1.0, 1.0]])
+    m, v = np.zeros(len(w) + 5), np.zeros(len(w) + 5)
+    pair = np.zeros((2, 2))
+    both = there[:, 1:] & there[:, :-1]
+    np.add.at(pair, (y[:, :-1][both], y[:, 1:][both]), np.broadcast_to(often[:, None], both.shape)[both])
+    for k in range(1, steps + 1):
+        e = np.bincount(rr, w[cc], n * width)
+        e = np.clip(e.reshape(n, width) + b, -30, 30)
+        ex, step = np.exp(e), np.exp(a)
+        fwd, bwd, c = np.ones((width, n, 2)), np.ones((width, n, 2)), np.ones((width, n))
+        for t in range(width):
+            x = (fwd[t - 1] @ step if t else np.ones((n, 2))) * np.stack([np.ones(n), ex[:, t]], 1)
+            c[t] = np.where(there[:, t], x.sum(1), 1.0)
+            fwd[t] = np.where(there[:, t, None], x / c[t][:, None], fwd[t - 1] if t else 1.0)
+        for t in range(width - 1, 0, -1):
+            x = (bwd[t] * np.stack([np.ones(n), ex[:, t]], 1)) @ step.T / c[t][:, None]
+            bwd[t - 1] = np.where(there[:, t, None], x, bwd[t])
+        p = fwd * bwd
+        p = (p[..., 1] / p.sum(-1)).T * there
+        ahead = bwd[1:] * np.stack([np.ones((width - 1, n)), ex.T[1:]], -1) / c[1:, :, None]
+        joint = fwd[:-1, :, :, None] * step[None, None] * ahead[:, :, None, :]
+        joint = (joint / joint.sum((2, 3), keepdims=True)).transpose(1, 0, 2, 3)
+        g = np.zeros(len(w) + 5)
+        d = ((y - p) * there * often[:, None]).ravel()
+        g[: len(w)] = np.bincount(cc, d[rr], len(w)) - ridge * w
+        g[len(w)] = d.sum() - b
+        g[len(w) + 1 :] = (pair - (joint * (both * often[:, None])[..., None, None]).sum((0, 1))).ravel() - a.ravel()
+        m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
+        up = 0.12 * (m / (1 - 0.9**k)) / (np.sqrt(v / (1 - 0.99**k)) + 1e-6)
+        w, b, a = w + up[: len(w)], b + up[len(w)], a + up[len(w) + 1 :].reshape(2, 2)
+    return Chain({f: float(w[i]) for f, i in index.items() if abs(w[i]) > 0.01}, float(b), a.tolist(), words)
+
+
+def count(docs: DataFrame, known: set[str]) -> tuple[int, set[str], list[str]]:
+    """The number of distinct texts, their usual words and the sentences said alike: all documents are counted, equal texts
+    once. Batches are counted where they are and summed by key. A sentence goes by its hash; its words go along only where its
+    share in a batch reaches 0.85 of ALIKE, as that of a sentence said alike does in one batch at least (`often` rounds by less)."""
+    texts = docs.where("text is not null and text <> ''").select("text").distinct()
+    shared = docs.sparkSession.sparkContext.broadcast(known)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = Words(shared.value)
+
+        def told(c: Counts) -> pa.RecordBatch:
+            keys = [*c.words, *c.sents, ""]
+            kinds = ["w"] * len(c.words) + ["s"] * len(c.sents) + ["n"]
+            n = [*c.words.values(), *c.sents.values(), c.texts]
+            full = [True] * len(c.words) + [v >= 0.85 * ALIKE * c.texts for v in c.sents.values()] + [True]
+            return pa.RecordBatch.from_arrays([pa.array(kinds), pa.array(keys), pa.array(n, pa.int64()), pa.array(full)], ["kind", "key", "n", "full"])
+
+        c = Counts(words)
+        for b in batches:
+            for t in b.column(0).to_pylist():
+                c.add(t)
+                if len(c.sents) + len(c.words) > HELD:
+                    yield told(c)
+                    c = Counts(words)
+        yield told(c)
+
+    part = texts.mapInArrow(run, "kind string, key string, n bigint, full boolean")
+    sums = part.groupBy("kind", F.xxhash64("key").alias("hash")).agg(F.sum("n").alias("n"), F.max(F.when(F.col("full"), F.col("key"))).alias("key")).persist()
+    try:
+        n = sums.where("kind = 'n'").first().n
+        word, sent = often(n)
+        got = sums.where((F.col("kind") == "w") & (F.col("n") >= word) | (F.col("kind") == "s") & (F.col("n") >= sent)).select("kind", "key").collect()
+    finally:
+        sums.unpersist()
+    return n, {r.key for r in got if r.kind == "w"}, [r.key for r in got if r.kind == "s"]
 
 
 def train(docs: DataFrame, sample: DataFrame) -> Chain:
-    """The chain from a table of labelled sentences (text, label) and from BACKGROUND documents; unlabelled and empty
-    sentences are left out, and at most MAX_LABELLED are used."""
+    """The chain from a table of labelled sentences (text, label), from the counts over all documents and from about BACKGROUND
+    distinct texts; unlabelled and empty sentences are left out, and at most MAX_LABELLED are used."""
     rows = sample.where("label is not null and text is not null and text <> ''").select("text", "label").orderBy(F.xxhash64("text"), "text", "label").limit(MAX_LABELLED).collect()
-    calm = by_hash(docs.select("doc_id", "text"), BACKGROUND, "doc_id").where("text is not null and text <> ''").select("text").collect()
-    return fit([(r.text, int(r.label > 0)) for r in rows], sorted(r.text for r in calm))
+    rows = [(r.text, int(r.label > 0)) for r in rows]
+    n, usual, alike = count(docs, labelled(rows)[1])
+    calm = docs.where("text is not null and text <> ''")
+    if n > BACKGROUND:
+        calm = calm.where(F.xxhash64("text") < F.lit(int(BACKGROUND / n * 2**64) - 2**63))
+    return fit(rows, [r.text for r in calm.select("text").distinct().collect()], counted=(usual, alike))
 
 
 def score(docs: DataFrame, sample: DataFrame, spans: bool = False) -> DataFrame:

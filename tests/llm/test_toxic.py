@@ -41,3 +41,29 @@ def test_long_text_and_spark(spark, chain, monkeypatch):
     assert [r.doc_id for r in toxic.found(docs, docs).collect()] == [1]
     assert {r.source: (r.docs, r.toxic) for r in toxic.rates(docs, docs).collect()} == {"a_b": (2, 1), None: (1, 0), "c": (1, 0)}
     assert toxic.score(docs, docs, spans=True).first().doc_id == 1 and toxic.found(docs.limit(0), docs).count() == 0
+
+
+def test_all_documents_are_counted_and_copies_once(spark, monkeypatch):
+    # one passage in a third of the rows, all of them copies of one text, and in two other texts: toxic, whatever its number
+    passage = "go choke on your data, you moron"
+    texts = [f"The lattice model follows from regime {chr(97 + i % 26) * 4}{i}. Copper beds dry." for i in range(120)]
+    texts += [f"{passage}. The lattice model follows."] * 60 + [f"{passage}. The model {w}." for w in ("bends", "breaks")]
+    docs = spark.createDataFrame([(i, t, "x") for i, t in enumerate(texts)], "doc_id bigint, text string, source string").repartition(5)
+    labels = [(b.format(n), 1) for b in BAD for n in NOUNS[:4]] + [(g, 0) for g in GOOD]
+    monkeypatch.setattr(toxic, "BACKGROUND", 30)  # far fewer than the documents: the counts must not depend on it
+    n, usual, alike = toxic.count(docs, toxic.labelled(labels)[1])
+    assert n == 123 and {"lattice", "copper"} <= usual and "bends" not in usual
+    whole = toxic.Counts(toxic.Words(toxic.labelled(labels)[1]))
+    for t in set(texts):
+        whole.add(t)
+    word, sent = toxic.often(n)
+    assert usual == {w for w, k in whole.words.items() if k >= word} and set(alike) == {s for s, k in whole.sents.items() if k >= sent}
+    assert "go choke on your data you moron" in alike
+    sample = spark.createDataFrame(labels, "text string, label int")
+    assert {r.doc_id for r in toxic.found(docs, sample).collect()} == set(range(120, 182))
+
+
+def test_labelled_toxic_sentences_stay_when_they_repeat():
+    rows = [(b.format(n), 1) for b in BAD for n in NOUNS[:4]] + [(g, 0) for g in GOOD]
+    background = [f"{g} Only a moron would believe this crap. Plot {i}." for i, g in enumerate(GOOD * 20)]
+    assert toxic.fit(rows, background).spans("Only a moron would believe this crap.")
