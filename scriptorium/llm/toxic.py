@@ -10,8 +10,9 @@ Texts are read as typesetting markup: macros defined in the text are expanded wh
 text like any other, commands and braces are taken off. Disguised spelling is undone: spaced or dotted letters, figures for
 letters, starred letters (by the known words that fit), drawn-out letters, discretionary hyphens, braces within words.
 
-Every document is tokenised whole. The chain runs over the sentences in which a span could be at all: a span's log-odds are at
-most the sum of its tokens' greatest evidence, so sentences whose strongest run stays below MARGIN have no span.
+Every document is tokenised whole. The chain runs over the sentences in which a span could be at all: the odds that a token is T
+are at most the sum, over the runs it may stand in, of the run's greatest evidence and its transitions against the same tokens
+as O. Where that stays below the odds of THRESHOLD there is no span.
 """
 
 from __future__ import annotations
@@ -45,8 +46,6 @@ FOLDS = 3
 #: Tokens belong to a span if P(T) is at least this, and a document counts if its score is. Sentences are offending seldom,
 #: but missed ones weigh as much as false ones.
 THRESHOLD = 0.42
-#: Log-odds that the strongest run of a sentence must be able to reach before the chain runs over it.
-MARGIN = 1.0
 #: Figures and marks written for letters.
 LEET = str.maketrans({"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "@": "a", "$": "s"})
 
@@ -149,10 +148,18 @@ class Chain:
                 best["<" + b] = max(best.get("<" + b, 0.0), v)
                 best[">" + a] = max(best.get(">" + a, 0.0), v)
         self.best, self.bounds = best, {}
-        self.calm: set[str] = set()  # tokens without evidence for T
+        self.calm: set[str] = set()  # tokens that are O whatever stands beside them, as long as it is calm too
+        (oo, ot), (to, tt) = step
+        self.enter, self.leave, self.stay = math.exp(ot - oo), math.exp(to - oo), math.exp(tt - oo)
+        self.odds = THRESHOLD / (1 - THRESHOLD) * (1 - 1e-9)
+        most, lo, hi = max(1.0, self.enter) * max(1.0, self.leave), 0.0, 1 / self.stay
+        for _ in range(60):  # with all odds at x, those of T are below x * most / (1 - x * stay) ** 2
+            x = (lo + hi) / 2
+            lo, hi = (x, hi) if x * most < self.odds * (1 - x * self.stay) ** 2 else (lo, x)
+        self.quiet = lo
 
     def bound(self, token: str) -> float:
-        """The most evidence for T a token can have, whatever its neighbours."""
+        """The greatest odds of T by its evidence a token can have, whatever its neighbours."""
         v = self.bounds.get(token)
         if v is None:
             if len(self.bounds) > 1_000_000:
@@ -160,9 +167,23 @@ class Chain:
             w = self.words.normal(token)
             v = self.bias + self.weights.get(w, 0.0) + (self.weights.get(w[:5] + "~", 0.0) if len(w) > 3 else 0.0) + self.best.get("<" + w, 0.0) + self.best.get(">" + w, 0.0)
             v += self.weights.get("~rare", 0.0) if rarely(w) and w not in self.words.usual else 0.0
-            self.bounds[token] = v
+            v = self.bounds[token] = math.exp(max(-30.0, min(30.0, v)))
         return v
 
+    def reaches(self, odds: list[float]) -> bool:
+        """Whether a token of a sentence can be T with THRESHOLD, given the bounds of its tokens."""
+        n, stay = len(odds), self.stay
+        run, left = 0.0, []  # the runs that end at a token
+        for i, x in enumerate(odds):
+            run = ((self.enter if i else 1.0) + run * stay) * x
+            left.append(run)
+        rest = 1.0  # those that go on after it
+        for i in range(n - 1, -1, -1):
+            if left[i] * rest >= self.odds:
+                return True
+            rest = self.leave + odds[i] * stay * rest
+        return False
+
     def marginals(self, words: list[str]) -> list[float]:
         """P(T) of each token."""
         get, n, usual = self.weights.get, len(words), self.words.usual
@@ -193,20 +214,15 @@ class Chain:
         if rest:
             some = [(t, bound(t)) for t in rest]
             if len(self.calm) < 1_000_000:
-                self.calm.update(t for t, v in some if v <= 0)
-            rest = {t for t, v in some if v > 0}
-        if not rest or sum(map(bound, rest)) < MARGIN:
+                self.calm.update(t for t, v in some if v <= self.quiet)
+            rest = {t for t, v in some if v > self.quiet}
+        if not rest:
             return []
         out, at = [], 0
         for part in _STOP.split(flat):  # every stop is one character
             if any(t in part for t in rest):
                 tokens = list(_WORD.finditer(part))
-                run = best = 0.0  # the strongest run of tokens by their bounds
-                for v in [bound(m[0]) for m in tokens]:
-                    run = run + v if run > 0 else v
-                    if run > best:
-                        best = run
-                if best >= MARGIN:
+                if self.reaches([bound(m[0]) for m in tokens]):
                     out += self._spans(tokens, part, at)
             at += len(part) + 1
         return out
@@ -270,7 +286,7 @@ def labelled(rows: list[tuple[str, int]]) -> tuple[list[tuple[list[str], int]],
 
 def fit(rows: list[tuple[str, int]], background: list[str] = (), rounds: int = 2, steps: int = 70, counted: tuple[set[str], list[str]] | None = None) -> Chain:
     """Train on (text, label) and on harmless texts: penalised log-likelihood by gradient ascent over sentences. In every round but the last, sentences clearly contradicted by the chain of the other FOLDS - 1
-    parts of the labelled sentences are taken as wrongly labelled and left out, unless it has no weight for a sixth of their words. `counted` has the usual words and the sentences said alike of all documents; without it those of `background`."""
+    parts of the labelled sentences are taken as wrongly labelled and left out. `counted` has the usual words and the sentences said alike of all documents; without it those of `background`."""
     cleaned, known = labelled(rows)
     words = Words(known)
     background = sorted(set(background))
@@ -299,8 +315,7 @@ def fit(rows: list[tuple[str, int]], background: list[str] = (), rounds: int = 2
         for k in range(FOLDS):
             rest = [x for x, f in zip(sents, fold) if f != k]
             judge = _ascend(rest, harmless, words, 11 + r, steps) if rest else chain
-            new = lambda s, seen=judge.weights: sum(rarely(w) and w not in seen for w in s)
-            kept += [((s, y), k) for (s, y), f in zip(sents, fold) if f == k and (not rest or 6 * new(s) >= len(s) or abs(y - float(np.mean(judge.marginals(s)))) < 0.9)]
+            kept += [((s, y), k) for (s, y), f in zip(sents, fold) if f == k and (not rest or abs(y - float(np.mean(judge.marginals(s)))) < 0.9)]
         sents, fold = [x for x, _ in kept] or sents, [k for _, k in kept] or fold
     return _ascend(sents, harmless, words, 10 + rounds, steps)
 

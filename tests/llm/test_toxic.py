@@ -67,3 +67,33 @@ def test_labelled_toxic_sentences_stay_when_they_repeat():
     rows = [(b.format(n), 1) for b in BAD for n in NOUNS[:4]] + [(g, 0) for g in GOOD]
     background = [f"{g} Only a moron would believe this crap. Plot {i}." for i, g in enumerate(GOOD * 20)]
     assert toxic.fit(rows, background).spans("Only a moron would believe this crap.")
+
+
+def every_span(chain, text):
+    """The spans of the chain run over every sentence."""
+    out, at, flat = [], 0, toxic.clean(text)
+    for part in toxic._STOP.split(flat):
+        if tokens := list(toxic._WORD.finditer(part)):
+            out += chain._spans(tokens, part, at)
+        at += len(part) + 1
+    return out
+
+
+@pytest.mark.parametrize("step", [[[1.0, -2.0], [-2.0, 2.5]], [[0.5, -0.5], [0.3, 1.5]], [[2.0, -3.0], [-3.0, 2.0]]])
+def test_no_sentence_with_a_span_is_skipped(step):
+    rng = random.Random(3)
+    words = [f"w{chr(97 + i)}" for i in range(12)]
+    weights = {w: rng.uniform(-2, 1.6) for w in words} | {f"{a}|{b}": rng.uniform(-0.5, 0.7) for a in words for b in words if rng.random() < 0.3}
+    weak = 0
+    for _ in range(4):
+        c = toxic.Chain(weights, -0.6, step, toxic.Words(set(words), set(words)))
+        for _ in range(300):
+            text = " ".join(rng.choices(words, k=rng.randint(1, 9))) + ". " + " ".join(rng.choices(words, k=rng.randint(1, 4)))
+            assert c.spans(text) == every_span(c, text)
+            weak += bool(c.spans(text))
+    assert weak
+
+
+def test_repeated_words_reach_a_span():
+    c = toxic.Chain({"bad": 0.9, "idiot": 4.0}, -0.6, [[1.0, -1.0], [-1.0, 1.5]], toxic.Words({"bad", "idiot"}, {"bad", "you"}))
+    assert c.spans("bad bad bad bad bad bad.")
