@@ -416,6 +416,14 @@ def best_line_match(spark: SparkSession, d: str) -> DataFrame:
     return quality.best_line_match(truth, ln.where("line > 0").selectExpr("scan_id", "left(ltext, 40) as line"), ["scan_id"])
 
 
+@query()
+def best_line_match_whole(spark: SparkSession, d: str) -> DataFrame:
+    """JOI14, STR4: the same over whole lines of every script; distances in characters (DuckDB's are in bytes, hence no SQL)."""
+    ln = V.lines(spark, d)
+    truth = ln.where("line = 0").selectExpr("scan_id", "block_id as truth_id", "ltext as truth")
+    return quality.best_line_match(truth, ln.where("line > 0").selectExpr("scan_id", "ltext as line"), ["scan_id"])
+
+
 _TOK = rf"SELECT scan_id, unnest(regexp_extract_all(text, '{T.NUMBER_TOKEN}')) AS token FROM block WHERE text IS NOT NULL AND page_number"
 
 
