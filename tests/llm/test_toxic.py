@@ -1,5 +1,8 @@
+import itertools
+import math
 import random
 
+import numpy as np
 import pytest
 
 from scriptorium.llm import toxic
@@ -31,7 +34,15 @@ def test_places_and_disguises(chain, text):
 def test_offsets(chain):
     text = "The model follows. go choke on your data, you moron. The model follows."
     score, a, b, words = chain.spans(text)[0]
-    assert toxic.clean(text)[a:b] == words and "choke" in words and 0 < score <= 1
+    assert text[a:b] == words and "choke" in words and 0 < score <= 1
+
+
+@pytest.mark.parametrize("text", ["a \\cite{x} go choke on your d.a.t.a, you m o r o n. The", "x \\emph{y} go ch\\-oke on {yo}ur data, you moron"])
+def test_offsets_are_those_of_the_original(chain, text):
+    flat, at = toxic.clean(text), toxic.origin(text)
+    assert len(at) == len(flat) and all(text[a] == c for c, (a, b) in zip(flat, at) if c.isalpha())
+    (_, a, b, words), *_ = chain.spans(text)
+    assert text[a:b] == words and words.startswith("go") and words.endswith("n")
 
 
 def test_long_text_and_spark(spark, chain, monkeypatch):
@@ -51,14 +62,13 @@ def test_all_documents_are_counted_and_copies_once(spark, monkeypatch):
     docs = spark.createDataFrame([(i, t, "x") for i, t in enumerate(texts)], "doc_id bigint, text string, source string").repartition(5)
     labels = [(b.format(n), 1) for b in BAD for n in NOUNS[:4]] + [(g, 0) for g in GOOD]
     monkeypatch.setattr(toxic, "BACKGROUND", 30)  # far fewer than the documents: the counts must not depend on it
-    n, usual, alike = toxic.count(docs, toxic.labelled(labels)[1])
+    n, usual = toxic.count(docs)
     assert n == 123 and {"lattice", "copper"} <= usual and "bends" not in usual
-    whole = toxic.Counts(toxic.Words(toxic.labelled(labels)[1]))
+    seen = {}
     for t in set(texts):
-        whole.add(t)
-    word, sent = toxic.often(n)
-    assert usual == {w for w, k in whole.words.items() if k >= word} and set(alike) == {s for s, k in whole.sents.items() if k >= sent}
-    assert "go choke on your data you moron" in alike
+        for w in set(toxic._PLAIN.findall(t.lower())):
+            seen[w] = seen.get(w, 0) + 1
+    assert usual == {w for w, k in seen.items() if k >= toxic.often(n)}
     sample = spark.createDataFrame(labels, "text string, label int")
     assert {r.doc_id for r in toxic.found(docs, sample).collect()} == set(range(120, 182))
 
@@ -69,31 +79,54 @@ def test_labelled_toxic_sentences_stay_when_they_repeat():
     assert toxic.fit(rows, background).spans("Only a moron would believe this crap.")
 
 
-def every_span(chain, text):
-    """The spans of the chain run over every sentence."""
-    out, at, flat = [], 0, toxic.clean(text)
-    for part in toxic._STOP.split(flat):
-        if tokens := list(toxic._WORD.finditer(part)):
-            out += chain._spans(tokens, part, at)
-        at += len(part) + 1
-    return out
+def brute(chain, words):
+    """P(T) of each token by summing over all labellings."""
+    e = [chain.bias + sum(chain.weights.get(f, 0.0) for f in fs) for fs in toxic.features(words, chain.words.usual)]
+    total, hit = 0.0, [0.0] * len(words)
+    for tags in itertools.product((0, 1), repeat=len(words)):
+        v = math.exp(sum(x for x, y in zip(e, tags) if y) + sum(chain.step[a][b] for a, b in zip(tags, tags[1:])))
+        total += v
+        for i, y in enumerate(tags):
+            hit[i] += v * y
+    return [h / total for h in hit]
 
 
 @pytest.mark.parametrize("step", [[[1.0, -2.0], [-2.0, 2.5]], [[0.5, -0.5], [0.3, 1.5]], [[2.0, -3.0], [-3.0, 2.0]]])
-def test_no_sentence_with_a_span_is_skipped(step):
+def test_marginals_of_all_sentences_are_exact(step):
     rng = random.Random(3)
-    words = [f"w{chr(97 + i)}" for i in range(12)]
+    words = [f"w{chr(97 + i)}" for i in range(12)] + ["you", "I", "women", "qqq"]
     weights = {w: rng.uniform(-2, 1.6) for w in words} | {f"{a}|{b}": rng.uniform(-0.5, 0.7) for a in words for b in words if rng.random() < 0.3}
-    weak = 0
-    for _ in range(4):
-        c = toxic.Chain(weights, -0.6, step, toxic.Words(set(words), set(words)))
-        for _ in range(300):
-            text = " ".join(rng.choices(words, k=rng.randint(1, 9))) + ". " + " ".join(rng.choices(words, k=rng.randint(1, 4)))
-            assert c.spans(text) == every_span(c, text)
-            weak += bool(c.spans(text))
-    assert weak
+    weights |= {"@who": 0.4, "@whom": 0.3, "@folk": 0.5, "~rare": 0.7, "~rare@who": 0.6, "~rare@folk": -0.3}
+    c = toxic.Chain(weights, -0.6, step, toxic.Words(set(words), set(words) - {"qqq"}))
+    said = [rng.choices(words, k=rng.randint(1, 9)) for _ in range(60)]
+    text = ". ".join(map(" ".join, said))
+    got = c.marginals(np.array([c.table.rows[t] for t in toxic._TOKEN.findall(text)]))
+    want = [p for s in said for p in [*brute(c, s), 0.0]][:-1]
+    assert np.allclose(got, want)
+    spans, hot = c.judge([text, None, "", text])[0][1], [0.0, *np.where(np.array(want) >= toxic.THRESHOLD, want, 0), 0.0]
+    lone = {i for s, i in zip(said, np.cumsum([0, *[len(s) + 1 for s in said]])) if len(s) == 1}
+    starts = [i for i in range(len(want)) if hot[i + 1] and not hot[i] and i not in lone]
+    assert [a for _, a, _ in spans] == starts
+
+
+def test_slices_do_not_matter(chain, monkeypatch):
+    texts = ["The model bends. go choke on your data, you moron. The model.", None, "", "Watch your back, moron, I know where you park", "..", "The model."] * 5
+    whole = chain.judge(texts)
+    monkeypatch.setattr(toxic, "SLICE", 7)
+    assert [f for _, f in chain.judge(texts)] == [f for _, f in whole] and chain.judge([]) == []
 
 
 def test_repeated_words_reach_a_span():
     c = toxic.Chain({"bad": 0.9, "idiot": 4.0}, -0.6, [[1.0, -1.0], [-1.0, 1.5]], toxic.Words({"bad", "idiot"}, {"bad", "you"}))
     assert c.spans("bad bad bad bad bad bad.")
+
+
+def test_innocent_use_unseen_in_training_stays(spark):
+    """Trained on tables from which the innocent sentences below are held out, the chain leaves them alone."""
+    innocent = ["Bastard toadflax was found on plot nine.", "The parent process must kill every orphaned child process.", "Vermin in the storage hall damaged two cables.", "Retarded potentials enter through the Green function.", "The clown fish avoids bleached anemones.", "Penetration depth increases with strip width.", "Dirty pages are flushed before the idle loop.", "The garbage collector frees dead nodes."]
+    d = "/root/testdata/sf0.01"
+    out = lambda t: not any(s[:-1].lower() in t.lower() for s in innocent)
+    sample = [(r.text, int(r.label > 0)) for r in spark.read.parquet(f"{d}/mod_sample.parquet").where("label is not null and text is not null").collect() if out(r.text)]
+    texts = [r.text for r in spark.read.parquet(f"{d}/documents.parquet").where("text is not null").select("text").distinct().collect()]
+    c = toxic.fit(sample, [t for t in texts if out(t)])
+    assert [s for s in innocent if c.spans(s)] == [] and c.spans("You are a useless idiot, nobody would miss you.")
