@@ -16,6 +16,7 @@ import re
 import zlib
 from collections import Counter, defaultdict
 from collections.abc import Iterator
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -54,6 +55,7 @@ _ADDRESS = re.compile(r"\S+ ?(?:@|\[at\]|\(at\)) ?\S+(?:\s?(?:\.|\[dot\])\s?[\w-
 _CYRILLIC = re.compile("[а-яё]")
 _END = re.compile(r"(?<=[.!?])[\"'»”)]*\s+(?=[^\W\d_a-zß-öø-ÿа-я]|[¿¡\"«(])")
 _CUT = re.compile(r"(?<=[^\W\d_])[-‐¬\xad][ \t]*\n(?=[^\W\d_])")
+_LETTERS = re.compile(r"[^\W\d_]+")
 _WORD = re.compile(r"(?<![\w@./+-])[^\W\d_]+(?:['’-][^\W\d_]+)*(?![\w@/]|\.\w)")
 
 
@@ -102,6 +104,8 @@ class Models:
 
     def __init__(self, keys: np.ndarray, gram: np.ndarray, back: np.ndarray, floor: float, lead: float = 0.0, slope: float = 1.0, passage: float = 0.0, most: float = 99.0):
         self.keys, self.gram, self.back, self.floor, self.lead, self.slope, self.passage, self.most = keys, gram, back, floor, lead, slope, passage, most
+        self.rows: dict[str, int] = {}
+        self.sums = np.zeros((0, len(LANGS)))
 
     @staticmethod
     def fit(texts: dict[str, list[str]], discount: float = 0.75) -> Models:
@@ -139,12 +143,8 @@ class Models:
         i = np.minimum(np.searchsorted(self.keys, h), len(self.keys) - 1)
         return np.where(self.keys[i] == h, i, -1)
 
-    def entropies(self, texts: list[str]) -> np.ndarray:
-        """Cross-entropy per character (nats) of each text under each language; all texts are scored at once, and no
-        n-gram reaches over a text's ends."""
-        if not len(self.keys) or not texts:
-            return np.zeros((len(texts), len(LANGS)))
-        codes = _codes("\n".join(texts))
+    def logs(self, codes: np.ndarray) -> np.ndarray:
+        """Negative log-probability of each character given the ones before it, under each language; line ends have none."""
         zero = self._at(np.zeros(1, np.uint64))[0]
         p = np.full((len(codes), len(LANGS)), self.floor, np.float32)
         if zero >= 0:
@@ -158,21 +158,52 @@ class Models:
             r = np.flatnonzero(rows >= 0)
             p[r + n - 1] += self.gram[rows[r]]
             context = rows
-        size = np.array([len(t) for t in texts])
-        start = np.concatenate([[0], np.cumsum(size + 1)[:-1]])
         logs = -np.log(np.maximum(p, 1e-9))
         logs[np.flatnonzero(codes == 10)] = 0
-        return np.add.reduceat(logs, start, axis=0) / size[:, None]
+        return logs
+
+    def entropies(self, texts: list[str]) -> np.ndarray:
+        """Cross-entropy per character (nats) of each text ' a b c ' under each language.
+
+        A character depends on the ORDER - 1 before it, so a word's sum depends on the last ones before the word only. These
+        sums are kept by (what stands before, word): words follow Zipf's law, sentences do not.
+        """
+        if not len(self.keys) or not texts:
+            return np.zeros((len(texts), len(LANGS)))
+        if len(self.rows) > 500_000:
+            self.rows, self.sums = {}, np.zeros((0, len(LANGS)))
+        rows, keys, count = self.rows, [], []
+        for t in texts:
+            before, words = "\n ", t.split()
+            count.append(max(1, len(words)))
+            for w in words or [""]:
+                keys.append(before + w)
+                before = (before + w + " ")[1 - ORDER :]
+        new = [k for k in dict.fromkeys(keys) if k not in rows]
+        for i in range(0, len(new), 20_000):
+            part = new[i : i + 20_000]
+            codes = _codes("\n".join(k + " " if k != "\n " else k for k in part))
+            ends = np.cumsum([len(k) + (k != "\n ") + 1 for k in part])
+            size = np.array([len(k) - k.rfind(" ") - 1 + (k != "\n ") + (k[0] == "\n" and k.rfind(" ") == 1) for k in part])  # the word, its blank, and a text's first blank
+            total = np.concatenate([np.zeros((1, len(LANGS))), np.cumsum(self.logs(codes), axis=0, dtype=np.float64)])
+            at = len(rows)
+            rows.update(zip(part, range(at, at + len(part))))
+            self.sums = np.concatenate([self.sums, total[ends - 1] - total[ends - 1 - size]])
+        ids = np.fromiter(map(rows.__getitem__, keys), np.int64, len(keys))
+        start = np.concatenate([[0], np.cumsum(count)[:-1]])
+        return np.add.reduceat(self.sums[ids], start, axis=0) / np.array([max(1, len(t)) for t in texts])[:, None]
 
     def languages(self, texts: list[str]) -> list[tuple[str | None, bool, float]]:
         """(language or None if rejected, whether it is sure enough for a foreign passage, confidence) of each text's words."""
-        out = []
-        for t, e in zip(texts, self.entropies(texts)):
-            order = np.argsort(e, kind="stable")
-            lead = float(e[order[1]] - e[order[0]])
-            best = LANGS[order[0]]
-            out.append((best if lead >= self.lead else None, lead >= self.passage and e[order[0]] <= self.most, 1 / (1 + float(np.exp(-self.slope * lead * len(t))))))
-        return out
+        if not texts:
+            return []
+        e = self.entropies(texts)
+        best = e.argmin(1)
+        least, second = np.partition(e, 1, axis=1)[:, :2].T
+        lead = second - least
+        conf = 1 / (1 + np.exp(-self.slope * lead * np.array([len(t) for t in texts])))
+        sure = (lead >= self.passage) & (least <= self.most)
+        return [(LANGS[b] if x else None, s, c) for b, x, s, c in zip(best.tolist(), (lead >= self.lead).tolist(), sure.tolist(), conf.tolist())]
 
     def calibrate(self, held: list[tuple[str, str]]) -> None:
         """The least lead at which accepted held-out sentences are right often enough, and the confidence's slope."""
@@ -210,10 +241,17 @@ def fit(labelled: list[tuple[str, str]]) -> Models:
         count[lang].update(words)
         total[lang] += len(words)
 
+    names, kept = sorted(total), {}
+
+    def speaks(w: str) -> np.ndarray:
+        if w not in kept:
+            kept[w] = np.log(np.array([(count[k][w] + 0.1) / (total[k] + 100) for k in names]))
+        return kept[w]
+
     def clear(lang: str, s: str) -> bool:
         if bool(_CYRILLIC.search(s)) != (lang == "ru"):
             return False
-        score = sorted(((sum(np.log((count[k][w] + 0.1) / (total[k] + 100)) for w in s.split()), k) for k in total), reverse=True)
+        score = sorted(zip(sum(speaks(w) for w in s.split()), names), reverse=True)
         return score[0][1] == lang and (len(score) == 1 or score[0][0] - score[1][0] >= CLEAR)
 
     agreed = sorted({(lang, s) for lang, s in rows}, key=lambda r: zlib.crc32(r[1].encode()))[: 40 * MAX_CHARS // 60]
@@ -232,9 +270,9 @@ def fit(labelled: list[tuple[str, str]]) -> Models:
 
 
 def train(scan: DataFrame, block: DataFrame) -> Models:
-    """Models fitted on SAMPLE paragraphs of scans whose label names a language."""
+    """Models fitted on SAMPLE texts of scans whose label names a language."""
     known = scan.select("scan_id", label_code(F.col("language")).alias("lang")).where("lang is not null")
-    text = by_hash(block.where("text is not null and type = 'paragraph'").select("scan_id", "block_id", "text"), SAMPLE, "block_id")
+    text = by_hash(block.where("text is not null").select("scan_id", "block_id", "text"), SAMPLE, "block_id")
     rows = sorted(text.join(known, "scan_id").select("lang", "text").collect())
     return fit([(r.lang, r.text) for r in rows])
 
@@ -247,23 +285,24 @@ def passages(scan: DataFrame, block: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own: Models = shared.value
-        seen: dict[str, tuple] = {}
         for b in batches:
-            said = [[(*scored(s), s, whole) for s, whole in sentences(t)] for t in b.column(2).to_pylist()]
-            said = [[x for x in xs if x[1] >= MIN_WORDS and len(x[0]) >= MIN_LETTERS] for xs in said]
-            if len(seen) > 300_000:
-                seen.clear()
-            new = list({x[0] for xs in said for x in xs} - seen.keys())
-            for i in range(0, len(new), 2000):
-                seen.update(zip(new[i : i + 2000], own.languages(new[i : i + 2000])))
+            said, words = [], []
+            for i, t in enumerate(b.column(2).to_pylist()):
+                for s, whole in sentences(t):
+                    w, n = scored(s)
+                    if n >= MIN_WORDS and len(w) >= MIN_LETTERS:
+                        said.append((i, s, whole))
+                        words.append(w)
+            judged = iter(own.languages(words))
             out: list[tuple] = []
-            for scan_id, block_id, xs in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), said):
-                sums: dict[str, list] = {}
-                for words, _, s, whole in xs:
-                    lang, sure, conf = seen[words]
+            scans, blocks = b.column(0).to_pylist(), b.column(1).to_pylist()
+            for i, xs in groupby(said, lambda x: x[0]):
+                scan_id, block_id, sums = scans[i], blocks[i], {}
+                for _, s, whole in xs:
+                    lang, sure, conf = next(judged)
                     if lang is not None:
                         x = sums.setdefault(lang, [0, 0, 0.0, 0])
-                        x[0] += sum(map(str.isalpha, s))
+                        x[0] += sum(map(len, _LETTERS.findall(s)))
                         x[1] += whole and sure
                         x[2] += conf
                         x[3] += 1
@@ -272,7 +311,7 @@ def passages(scan: DataFrame, block: DataFrame) -> DataFrame:
             types = (pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int32(), pa.float64())
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], ["scan_id", "block_id", "lang", "letters", "whole", "confidence"])
 
-    texts = block.where("text is not null and text <> '' and type = 'paragraph' and scan_id is not null").select("scan_id", "block_id", "text")
+    texts = block.where("text is not null and text <> '' and scan_id is not null").select("scan_id", "block_id", "text")
     return texts.mapInArrow(run, "scan_id bigint, block_id bigint, lang string, letters bigint, whole int, confidence double")
 
 

@@ -7,11 +7,12 @@ from pyspark.sql import functions as F
 
 
 def by_hash(df: DataFrame, n: int, *keys: str | Column) -> DataFrame:
-    """About n rows of `df`, those whose hash of `keys` is smallest as far as a share of n in all rows goes; all rows where
-    there are at most n. No more than 1.2 n rows come back, also when keys repeat. The rows are filtered where they are read:
-    nothing is sorted or gathered but the sample. The same table gives the same rows."""
+    """The n rows of `df` whose hash of `keys` is smallest (ties by all columns); all rows where there are at most n. Rows are
+    filtered by a share of the hashes where they are read, so only about the sample is sorted; where repeated keys leave fewer
+    than n, those are the sample. The same table gives the same rows, however it is split."""
     total = df.count()
     if total <= n:
         return df
-    cut = int(n / total * 2**64) - 2**63
-    return df.where(F.xxhash64(*keys) < F.lit(cut)).limit(int(1.2 * n))
+    hashed = F.xxhash64(*keys)
+    cut = int(min(1.0, 1.2 * n / total) * 2**64) - 2**63
+    return df.where(hashed < F.lit(min(cut, 2**63 - 1))).orderBy(hashed, *df.columns).limit(n)

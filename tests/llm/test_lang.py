@@ -37,6 +37,24 @@ def test_batch_equals_single(models):
         assert abs(models.entropies([t])[0] - e).max() < 1e-4
 
 
+def test_sums_by_word_are_those_of_all_characters(models):
+    import numpy as np
+
+    rng = random.Random(4)
+    texts = [f" {' '.join(rng.choices([*WORDS['en'], *WORDS['fr'], 'a', 'x', 'qq'], k=rng.randint(1, 12)))} " for _ in range(200)] + ["  "]
+    for t, e in zip(texts, models.entropies(texts)):
+        direct = models.logs(lang._codes("\n" + " ".join(["", *t.split(), ""])))[1:] if t.split() else models.logs(lang._codes("\n "))[1:]
+        assert np.allclose(e * len(t), direct.sum(0), atol=1e-3)
+
+
+def test_all_types_of_block_count(spark, monkeypatch, models):
+    monkeypatch.setattr(lang, "train", lambda *_: models)
+    say = sentence(random.Random(5), "de")
+    b = spark.createDataFrame([(1, 1, "heading", say), (2, 1, "signature", say)], "block_id bigint, scan_id bigint, type string, text string")
+    s = spark.createDataFrame([(1, "en")], "scan_id bigint, language string")
+    assert [tuple(r) for r in lang.find(s, b).collect()] == [(1, 0, "de")]
+
+
 def test_find(spark, monkeypatch, models):
     monkeypatch.setattr(lang, "train", lambda *_: models)
     rng = random.Random(3)
