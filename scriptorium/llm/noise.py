@@ -3,8 +3,9 @@
 Two passes over the texts and a few small joins between them:
 
 1. `lexicon`: every text's words are counted per task and summed by Spark. Words are grouped by confusable-glyph skeleton;
-   of a group the frequent forms are kept. Only words with at least MIN_SHARE of all words are kept, so the lexicon has at
-   most 1 / MIN_SHARE entries, whatever the size of the corpus; it is the only thing that is broadcast.
+   of a group the frequent forms are kept, and the rarer ones that its main form does not dominate, so that every decision
+   rests on true counts. Main forms have at least MIN_SHARE of all words, which bounds what is broadcast whatever the size of
+   the corpus.
 2. `annotate`: one pass that tells of each text which noise it holds, with the candidate lines for running heads (digits
    masked, glyphs folded) and the page's first and last texts as small rows.
 3. Heads are keys printed at the top of two or more pages of a scan (an aggregate by scan and key); carries join a page's
@@ -46,11 +47,23 @@ _WORD = re.compile(r"[^\W_][\w+|!]*(?:['’-][^\W_][\w+|!]*)*")
 SEPARATOR = "\x1e\x1f"
 _MARK = re.compile(r"([-‐¬\xad])[ \t]*\n")
 _LEFT = re.compile(r"[^\W_][\w+|!]*$")
+_HEAD_WORD = re.compile(r"[^\W_][\w+|]*")
 _RIGHT = re.compile(r"[^\W_][\w+|!]*")
 _PAGE_LINE = re.compile(rf"[\s\-–—~\[\](|.]*(?:(?:{'|'.join(PAGE_WORDS)})\b\.?\s*)?(\d+|[lIO]\d*|[ivxlc]+)(?:\s*(?:/|{'|'.join(OF_WORDS)})\s*(?:\d+|[ivxlc]+))?[\s\-–—~\[\])|.]*", re.I)
+#: Whether a text may have such a line at all.
+_PAGE_LINES = re.compile(rf"^(?:{_PAGE_LINE.pattern})$", re.I | re.M)
 _FIGURE = re.compile(rf"(?:[$€£]|EUR|USD|GBP)? ?[\d{FIGURE_LETTERS}]+(?:[.,][\d{FIGURE_LETTERS}]+)*(?: ?(?:kg|€|%))?")
-_FIGURE_IN_TEXT = re.compile(rf"(?=.*\d)(?=.*[{FIGURE_LETTERS}])[\d{FIGURE_LETTERS}]+[.,][\d{FIGURE_LETTERS}]+")
-_END = re.compile(r"[.!?:;…][\"'»”)\]]*\s*$")
+#: A figure with a decimal or grouping mark and a letter for a digit; without such a mark it may be a code.
+_FIGURE_IN_TEXT = re.compile(rf"(?<![\w.,/@-])(?=[^\s]*\d)(?=[\d.,]*[{FIGURE_LETTERS}])[\d{FIGURE_LETTERS}]+(?:[.,][\d{FIGURE_LETTERS}]+)+(?![\w@/-])")
+_UNIT = re.compile(r" ?(?:kg|€|%)\s*$")
+_CURRENCY = re.compile(r"\s*(?:[$€£]|EUR|USD|GBP)")
+_MIXED = re.compile(rf"[\d{FIGURE_LETTERS}]+")
+_TO_DIGITS = str.maketrans("OolISBZzsGg", "00115822569")
+
+
+def ended(line: str) -> bool:
+    """Whether a line ends as a sentence does."""
+    return line.rstrip().rstrip("\"'»”)]")[-1:] in (".", "!", "?", ":", ";", "…")
 
 
 def fold(word: str) -> str:
@@ -71,29 +84,54 @@ def _tokens(text: str) -> list[str]:
 
 
 def word_counts(texts: DataFrame) -> DataFrame:
-    """word, n over the `text` and `items` columns: partial counts per task, summed by word. Hot words are summed before the shuffle."""
+    """word (folded), n, spelt (its most frequent spelling in lower case), skel over the `text` and `items` columns: partial
+    counts per task, summed by word. Hot words are summed before the shuffle."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: Counter[str] = Counter()
+
+        def told() -> pa.RecordBatch:
+            low: Counter[str] = Counter()
+            for w, n in counts.items():
+                low[w.lower()] += n
+            words = [fold(w) for w in low]
+            return pa.RecordBatch.from_pydict({"word": words, "low": list(low), "skel": [skeleton(w) for w in words], "n": list(low.values())})
+
         for b in batches:
             counts.update(_tokens("\n".join(t for t in b.column(0).to_pylist() if t)))
             counts.update(_tokens("\n".join(x for x in b.column(1).to_pylist() if x)))
             if len(counts) > 500_000:  # a bound for memory: what is there goes out as a part
-                yield pa.RecordBatch.from_pydict({"word": list(counts), "n": list(counts.values())})
+                yield told()
                 counts.clear()
         if counts:
-            yield pa.RecordBatch.from_pydict({"word": list(counts), "n": list(counts.values())})
+            yield told()
+
+    part = texts.select("text", "items").mapInArrow(run, "word string, low string, skel string, n bigint")
+    return part.groupBy("word", "low", "skel").agg(F.sum("n").alias("n")).groupBy("word", "skel").agg(F.sum("n").alias("n"), F.max(F.struct("n", "low"))["low"].alias("spelt"))
+
+
+class Verdicts(dict):
+    """Whether a token is a misreading (1), may be part of a misread figure (2) or neither (0), by token."""
+
+    def __init__(self, lex: Lexicon):
+        self.lex = lex
 
-    return texts.select("text", "items").mapInArrow(run, "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
+    def __missing__(self, w: str) -> int:
+        if len(self) > 500_000:
+            self.clear()
+        self[w] = v = 1 if any(self.lex.reading(x) for x in re.split("['’-]", w)) else 2 if _MIXED.fullmatch(w) and any(c.isdigit() for c in w) and not w.isdigit() else 0
+        return v
 
 
 class Lexicon:
-    """Frequent forms and the main form of each skeleton."""
+    """Frequent forms and the main form of each skeleton, from (folded word, n, spelling)."""
 
-    def __init__(self, rows: list[tuple[str, int]]):
+    def __init__(self, rows: list[tuple]):
         counts: Counter[str] = Counter()
-        for w, n in rows:
+        self.spelt: dict[str, str] = {}
+        for w, n, *spelt in rows:
             counts[fold(w)] += n
+            self.spelt[fold(w)] = spelt[0] if spelt else w
         self.main: dict[str, str] = {}
         for w, n in counts.items():
             k = skeleton(w)
@@ -101,8 +139,7 @@ class Lexicon:
                 self.main[k] = w
         self.counts = counts
         self.misread: dict[str, str | None] = {}
-        self.ok: set[str] = set()
-        self.bad: set[str] = set()
+        self.verdicts = Verdicts(self)
         self.short: dict[tuple[str, bool], tuple[bool, bool]] = {}
 
     def known(self, w: str) -> bool:
@@ -141,12 +178,19 @@ class Lexicon:
         return not (l in self.counts and r in self.counts and min(len(l), len(r)) >= 4)
 
 
-def lexicon(texts: DataFrame) -> list[tuple[str, int]]:
-    """The corpus's frequent words with counts: at most 1 / MIN_SHARE of them."""
-    counts = word_counts(texts).where(F.length("word") <= 60)
-    total = counts.agg(F.sum("n").alias("total"))
-    kept = counts.where(F.col("n") >= MIN_COUNT).crossJoin(F.broadcast(total)).where(F.col("n") >= MIN_SHARE * F.col("total"))
-    return [(r.word, r.n) for r in kept.select("word", "n").collect()]
+def lexicon(texts: DataFrame) -> list[tuple[str, int, str]]:
+    """The corpus's frequent words with counts, at most 1 / MIN_SHARE of them, and the rarer words that share a skeleton with
+    one of them without being dominated by it: those have at least MIN_SHARE / DOMINANCE of all words, and are few."""
+    counts = word_counts(texts).persist()
+    try:
+        total = counts.agg(F.sum("n").alias("n")).first().n or 0
+        least = max(MIN_COUNT, MIN_SHARE * total)
+        often = counts.where(F.col("n") >= least)
+        main = often.groupBy("skel").agg(F.max("n").alias("most"))
+        rival = counts.where((F.col("n") < least) & (F.col("n") * DOMINANCE > least)).join(main, "skel").where(F.col("n") * DOMINANCE > F.col("most"))
+        return [(r.word, r.n, r.spelt) for r in often.select("word", "n", "spelt").unionByName(rival.select("word", "n", "spelt")).collect()]
+    finally:
+        counts.unpersist()
 
 
 def texts_of(block: DataFrame, cell: DataFrame) -> DataFrame:
@@ -159,7 +203,7 @@ def texts_of(block: DataFrame, cell: DataFrame) -> DataFrame:
 
 def page_line(line: str, page: int | None) -> bool:
     """Whether a line is the page's number, alone or with words or marks."""
-    if page is None or len(line) > 24 or not line.strip():
+    if page is None or not line or line.isspace():
         return False
     m = _PAGE_LINE.fullmatch(line.strip())
     return bool(m) and (m[1].translate(str.maketrans("lIO", "110")) == str(page) or m[1].lower() == roman(page))
@@ -184,12 +228,19 @@ def head_parts(line: str, page: int | None) -> tuple[str, bool]:
     return line.strip(), False
 
 
+_KEYS: dict[str, str] = {}
+
+
 def head_key(line: str) -> str:
     """A head's key: letters folded by glyph, digits masked, nothing else."""
     words = []
-    for w in re.findall(r"[^\W_][\w+|]*", line):
-        figures = sum(c.isdigit() for c in w)
-        words.append(re.sub(r"\d+", "9", w.lower()) if figures and len(w) < 3 * figures and len(w) < 6 else skeleton(fold(w)))
+    for w in _HEAD_WORD.findall(line):
+        if (k := _KEYS.get(w)) is None:
+            if len(_KEYS) > 200_000:
+                _KEYS.clear()
+            figures = sum(c.isdigit() for c in w)
+            k = _KEYS[w] = re.sub(r"\d+", "9", w.lower()) if figures and len(w) < 3 * figures and len(w) < 6 else skeleton(fold(w))
+        words.append(k)
     return "".join(words)
 
 
@@ -208,7 +259,7 @@ def joined(text: str, page: int | None, lex: Lexicon) -> str:
         right = _RIGHT.match(text, m.end())
         if left and not (right and lex.cut(left[0], m[1], right[0])):
             line, _, _ = text[m.end() :].partition("\n")
-            right = _RIGHT.match(text, m.end() + len(line) + 1) if len(line) <= 12 and page_line(line, page) else None
+            right = _RIGHT.match(text, m.end() + len(line) + 1) if page_line(line, page) else None
             right = right if right and lex.cut(left[0], m[1], right[0]) else None
         if left and right:
             out.append(text[at : m.start()])
@@ -250,16 +301,27 @@ def noise_in(text: str, page: int | None, lex: Lexicon) -> tuple[bool, bool]:
     if "\n" in text and _MARK.search(text):
         flat = joined(text, page, lex)
         hyphen = len(flat) < len(text) or over_break(text, page, lex)
-    words = set(_WORD.findall(flat))
-    for w in words - lex.ok - lex.bad:
-        (lex.bad if any(lex.reading(x) for x in re.split("['’-]", w)) else lex.ok).add(w)
-    misread = not lex.bad.isdisjoint(words)
-    at = -1 if misread else flat.find("kg")
-    while at > 0 and not misread:
-        figure = (flat[max(0, at - 24) : at].split() or [""])[-1]
-        misread = bool(_FIGURE_IN_TEXT.fullmatch(figure))
-        at = flat.find("kg", at + 2)
-    return hyphen, misread
+    said = set(map(lex.verdicts.__getitem__, _WORD.findall(flat)))
+    return hyphen, 1 in said or 2 in said and bool(_FIGURE_IN_TEXT.search(flat))
+
+
+def figure_cell(text: str) -> bool:
+    """Whether a cell is a figure with a letter for a digit."""
+    if not any(c.isdigit() for c in text) or not any(c in FIGURE_LETTERS for c in text):
+        return False
+    t = text.strip()
+    m = _FIGURE.fullmatch(t)
+    return bool(m) and any(c in FIGURE_LETTERS for c in _UNIT.sub("", t)) and sum(c.isdigit() or c in FIGURE_LETTERS for c in t) > 1
+
+
+def right_figures(text: str, cell: bool) -> str:
+    """The text with its misread figures put right: letters for digits within a figure become digits."""
+    if cell and figure_cell(text):
+        unit = _UNIT.search(text)
+        body, tail = (text[: unit.start()], text[unit.start() :]) if unit else (text, "")
+        head = _CURRENCY.match(body)
+        return (head[0] if head else "") + body[head.end() if head else 0 :].translate(_TO_DIGITS) + tail
+    return _FIGURE_IN_TEXT.sub(lambda m: m[0].translate(_TO_DIGITS), text)
 
 
 def noise_in_short(text: str, lex: Lexicon, cell: bool) -> tuple[bool, bool]:
@@ -268,9 +330,7 @@ def noise_in_short(text: str, lex: Lexicon, cell: bool) -> tuple[bool, bool]:
     if (known := lex.short.get(key)) is not None:
         return known
     hyphen, misread = noise_in(text, None, lex)
-    if cell and not misread and any(c.isdigit() for c in text) and any(c in FIGURE_LETTERS for c in text):
-        t = text.strip()
-        misread = bool(_FIGURE.fullmatch(t)) and sum(c.isdigit() or c in FIGURE_LETTERS for c in t) > 1
+    misread = misread or cell and figure_cell(text)
     if len(lex.short) > 200_000:
         lex.short.clear()
     lex.short[key] = hyphen, misread
@@ -292,7 +352,7 @@ def annotate_batch(b: pa.RecordBatch, lex: Lexicon) -> pa.RecordBatch:
         if page is not None and kind in ("paragraph", "heading"):
             lines = text.split("\n")
             one = len(lines) == 1
-            at = [i for i, line in enumerate(lines) if len(line) <= 24 and page_line(line, page)] if kind == "paragraph" else []
+            at = [i for i, line in enumerate(lines) if page_line(line, page)] if kind == "paragraph" and _PAGE_LINES.search(text) else []
             page_no = bool(at)
             rest = [i for i in range(len(lines)) if i not in at] if at else range(len(lines))
             body = bool(rest) and bool(text.strip())
@@ -301,7 +361,7 @@ def annotate_batch(b: pa.RecordBatch, lex: Lexicon) -> pa.RecordBatch:
                 width = 0
                 for i in [i for i in rest if i == 0 or lines[i][:1].isupper()]:
                     line = lines[i]
-                    if i == 0 and pos and kind == "paragraph" and not one or len(line) > 120:
+                    if i == 0 and pos and kind == "paragraph" and not one:
                         continue
                     inner = False
                     if i > 0:
@@ -311,10 +371,10 @@ def annotate_batch(b: pa.RecordBatch, lex: Lexicon) -> pa.RecordBatch:
                     if i == 0 or inner:
                         p = page + 1 if inner else page
                         bare, numbered = head_parts(line, p)
-                        if len(bare) >= 4 and not _END.search(bare):
+                        if len(bare) >= 4 and not ended(bare):
                             found += [(i, k, p, numbered) for k in head_keys(bare)]
                 last = lines[rest[-1]].rstrip()
-                open_ = kind == "paragraph" and not _END.search(last)
+                open_ = kind == "paragraph" and not ended(last)
                 if open_ and last[-1:] in "-‐¬\xad" and (m := re.search(r"([^\W_][\w+|!]*)([-‐¬\xad])$", last)):
                     tail = m[1] + m[2]
                 first = [_RIGHT.match(lines[i].lstrip()) for i in rest[:2]]
@@ -325,7 +385,7 @@ def annotate_batch(b: pa.RecordBatch, lex: Lexicon) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, _NOTE)], schema=_NOTE)
 
 
-def annotate(texts: DataFrame, words: list[tuple[str, int]]) -> DataFrame:
+def annotate(texts: DataFrame, words: list[tuple]) -> DataFrame:
     """Notes of all blocks (see annotate_batch), with the lexicon broadcast once."""
     shared = texts.sparkSession.sparkContext.broadcast(words)
 
@@ -337,7 +397,7 @@ def annotate(texts: DataFrame, words: list[tuple[str, int]]) -> DataFrame:
     return texts.where("src = 'block'").mapInArrow(run, _NOTE_DDL)
 
 
-def annotate_cells(texts: DataFrame, words: list[tuple[str, int]]) -> DataFrame:
+def annotate_cells(texts: DataFrame, words: list[tuple]) -> DataFrame:
     """src, row_id, item_pos, hyphen, misread of the cells with noise; cells without a letter can have none."""
     shared = texts.sparkSession.sparkContext.broadcast(words)
     names = ["src", "row_id", "item_pos", "hyphen", "misread"]
@@ -365,7 +425,7 @@ def _lexicon(shared) -> Lexicon:
     return _BUILT[key]
 
 
-def structure(notes: DataFrame, words: list[tuple[str, int]]) -> tuple[DataFrame, DataFrame]:
+def structure(notes: DataFrame, words: list[tuple]) -> tuple[DataFrame, DataFrame]:
     """Heads (row_id, line, numbered) and carries (scan_id, page_number, row_id, next_id, hyphen) from the notes.
 
     Of each page only its first two and its last content block go on. A head is a key that stands at the top of at least
@@ -381,15 +441,15 @@ def structure(notes: DataFrame, words: list[tuple[str, int]]) -> tuple[DataFrame
     ends = (
         blocks.where("body")
         .withColumn("_first", F.row_number().over(page.orderBy("block_pos", "row_id")))
-        .withColumn("_last", F.row_number().over(page.orderBy(F.desc("block_pos"), F.desc("row_id"))))
-        .where("_first <= 2 or _last = 1")
+        .withColumn("_last", F.lead("row_id").over(page.orderBy("block_pos", "row_id")).isNull())
+        .where("_first <= 2 or _last")
         .select("scan_id", "page_number", "row_id", "type", "heads", "open", "tail", "start", "one_line", "_first", "_last")
     )
     ends = checkpoint(ends)
     top = ends.where("_first = 1 and page_number > 1").select("scan_id", "row_id", "one_line", F.inline(F.filter("heads", lambda h: h["line"] == 0)))
     inner = blocks.where("exists(heads, h -> h.line > 0)").select("scan_id", "row_id", F.lit(False).alias("one_line"), F.inline(F.filter("heads", lambda h: h["line"] > 0)))
     printed = top.unionByName(inner)
-    keys = printed.select("scan_id", "key", "page").distinct().groupBy("scan_id", "key").agg(F.count("*").alias("n")).where("n >= 2")
+    keys = printed.groupBy("scan_id", "key").agg(F.min("page").alias("a"), F.max("page").alias("b")).where("a < b").select("scan_id", "key")
     sure = printed.join(keys, ["scan_id", "key"], "left_semi")
     # a head whose other pages are lost: its key is a head elsewhere more often than anything else
     seen = blocks.select(F.inline(F.filter("heads", lambda h: h["line"] == 0))).groupBy("key").agg(F.count("*").alias("all"))
@@ -404,7 +464,7 @@ def structure(notes: DataFrame, words: list[tuple[str, int]]) -> tuple[DataFrame
     begin = begin.where("_whole is null").groupBy("scan_id", "page_number").agg(F.min(F.struct("_first", "row_id", "type", "start", "_led")).alias("b"))
     begin = begin.select("scan_id", (F.col("page_number") - 1).alias("page_number"), F.col("b.row_id").alias("next_id"), F.col("b.type").alias("next_type"),
                          F.element_at(F.split("b.start", "\n"), F.when(F.col("b._led"), 2).otherwise(1)).alias("right"))
-    last = ends.where("_last = 1 and open and type = 'paragraph'").select("scan_id", "page_number", "row_id", "tail")
+    last = ends.where("_last and open and type = 'paragraph'").select("scan_id", "page_number", "row_id", "tail")
     shared = notes.sparkSession.sparkContext.broadcast(words)
 
     @F.pandas_udf("boolean")
@@ -417,7 +477,7 @@ def structure(notes: DataFrame, words: list[tuple[str, int]]) -> tuple[DataFrame
     return head, carry
 
 
-def _prepared(block: DataFrame, cell: DataFrame) -> tuple[DataFrame, list[tuple[str, int]], DataFrame]:
+def _prepared(block: DataFrame, cell: DataFrame) -> tuple[DataFrame, list[tuple], DataFrame]:
     from scriptorium.session import checkpoint
 
     texts = texts_of(block, cell)
@@ -444,9 +504,9 @@ def find(block: DataFrame, cell: DataFrame) -> DataFrame:
     return out.distinct()
 
 
-def repair_text(text: str, lex: Lexicon, page: int | None, head_lines: list[int], paragraph: bool) -> str:
-    """A text without heads and page numbers, with cut words joined, misread words in their main form (capitals kept) and
-    its lines reflowed into one."""
+def repair_text(text: str, lex: Lexicon, page: int | None, head_lines: list[int], paragraph: bool, cell: bool = False) -> str:
+    """A text without heads and page numbers, with cut words joined, misread words in their main form (capitals kept), misread
+    figures put right and its lines reflowed into one."""
     lines = text.split("\n")
     keep = [x for i, x in enumerate(lines) if i not in head_lines and not (paragraph and page_line(x, page))]
 
@@ -455,9 +515,10 @@ def repair_text(text: str, lex: Lexicon, page: int | None, head_lines: list[int]
         main = lex.reading(w)
         if main is None:
             return w
+        main = lex.spelt[main]
         return main.upper() if w.isupper() and len(w) > 1 else main.capitalize() if w[0].isupper() else main
 
-    flat = joined("\n".join(keep), None, lex)
+    flat = right_figures(joined("\n".join(keep), None, lex), cell)
     return re.sub(r"\s+", " ", re.sub(r"[^\W_][\w+|!]*", word, flat)).strip()
 
 
@@ -478,7 +539,7 @@ def repair(block: DataFrame, cell: DataFrame) -> DataFrame:
         for b in batches:
             rows = []
             for src, row_id, text, items, page, kind, ls in zip(*(c.to_pylist() for c in b.columns)):
-                rows.append((src, row_id, -1, repair_text(text, lex, page, ls or [], kind == "paragraph")))
+                rows.append((src, row_id, -1, repair_text(text, lex, page, ls or [], kind == "paragraph", src == "cell")))
                 rows += [("item", row_id, i, repair_text(x, lex, None, [], False)) for i, x in enumerate(items.split(SEPARATOR) if items else ()) if x]
             cols = list(zip(*rows)) if rows else [[]] * 4
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.string(), pa.int64(), pa.int32(), pa.string()))], ["src", "row_id", "item_pos", "text"])

@@ -1,3 +1,5 @@
+import pytest
+
 from scriptorium.llm import noise
 
 BLOCK = "block_id bigint, scan_id bigint, page_number int, block_pos int, type string, text string, items array<string>, src string"
@@ -43,3 +45,40 @@ def test_heads_page_numbers_and_carry(spark):
 def test_empty(spark):
     b, c = frames(spark, [])
     assert noise.find(b.limit(0), c).count() == 0
+
+
+@pytest.mark.parametrize(("text", "cell", "right"), [("36.B85", True, "36.885"), ("l2.5 kg", True, "12.5 kg"), ("EUR 1O", True, "EUR 10"), ("S69", True, "569"), ("about 12,4S0.70 were left", False, "about 12,450.70 were left"), ("total 1O.5O EUR", False, "total 10.50 EUR")])
+def test_figures_found_are_put_right(text, cell, right):
+    lex = noise.Lexicon([("about", 50, "about"), ("total", 50, "total"), ("left", 9, "left")])
+    assert noise.noise_in_short(text, lex, cell)[1] and noise.repair_text(text, lex, None, [], False, cell) == right
+
+
+@pytest.mark.parametrize("text", ["see B14 and R37-934", "lot S2/l5", "a.B@c.d", "12.50 kg", "Z46944090"])
+def test_codes_are_no_figures(text):
+    lex = noise.Lexicon([("see", 50, "see")])
+    assert not noise.noise_in_short(text, lex, False)[1] and noise.right_figures(text, False) == text
+
+
+def test_every_misreading_found_is_repaired(spark):
+    d = "/root/testdata/sf0.001"
+    b, c = spark.read.parquet(f"{d}/block.parquet"), spark.read.parquet(f"{d}/cell.parquet")
+    hit = {(r.src, r.row_id, r.item_pos) for r in noise.find(b, c).where("kind = 'misread'").collect()}
+    texts = {("cell", r.cell_id, -1): r.text for r in c.collect()} | {("block", r.block_id, -1): r.text for r in b.collect()}
+    texts |= {("item", r.block_id, i): x for r in b.collect() for i, x in enumerate(r["items"] or [])}
+    after = {(r.src, r.row_id, r.item_pos): r.text for r in noise.repair(b, c).collect()}
+    assert hit and not [k for k in hit if after[k] == texts[k]]
+
+
+def test_accents_stay_when_a_word_is_repaired():
+    lex = noise.Lexicon([("prufte", 200, "prüfte")])
+    assert noise.repair_text("Er prufie, er Prüftc.", lex, None, [], False) == "Er prufie, er Prüfte."
+
+
+def test_rare_words_not_dominated_keep_their_counts(spark, monkeypatch):
+    """A word below MIN_SHARE whose twin is less than DOMINANCE times as frequent is no misreading, whatever the corpus's size."""
+    monkeypatch.setattr(noise, "MIN_SHARE", 0.02)
+    text = "modern " * 300 + "modem " * 20 + "the plan " * 400 + "modcrn "
+    b = spark.createDataFrame([(1, 1, 1, 0, "paragraph", text, None, "x")], BLOCK)
+    rows = noise.lexicon(noise.texts_of(b, spark.createDataFrame([], CELL)))
+    lex = noise.Lexicon(rows)
+    assert lex.counts["modem"] == 20 and lex.reading("modem") is None and lex.reading("modcrn") == "modern"
