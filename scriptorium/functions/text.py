@@ -72,3 +72,9 @@ def column_letters(n: Column) -> Column:
         F.when(m < 26, letter(m)).when(m < 702, F.concat(letter(F.floor((m - 26) / 26)), letter((m - 26) % 26)))
         .otherwise(F.concat(letter(F.floor((m - 702) / 676)), letter(F.floor((m - 702) / 26) % 26), letter((m - 702) % 26)))
     )
+
+
+def readable_ink(fill: Column) -> Column:
+    """White on a dark fill (RRGGBB, luminance under 120), else black (PRJ30)."""
+    part = lambda i: F.conv(F.substring(fill, i, 2), 16, 10).cast("int")
+    return F.when(0.299 * part(1) + 0.587 * part(3) + 0.114 * part(5) < 120, "FFFFFF").otherwise("000000")

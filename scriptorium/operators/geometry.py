@@ -210,3 +210,56 @@ def bands(rows: DataFrame, keys: list[str], order: str, value: str) -> DataFrame
     t = rows.withColumn("_a", d1).withColumn("_b", d2).where("_a is not null and _b is not null")
     g = t.groupBy(*keys).agg(F.count("*").alias("triples"), F.sum((F.col("_a") * F.col("_b") < 0).cast("bigint")).alias("flips"))
     return g.withColumn("banded", (F.col("triples") >= 4) & (F.col("flips") * 4 >= F.col("triples") * 3))
+
+
+def alignment(x0: str, x1: str, left: str, right: str) -> Column:
+    """left, center or right: how a text stands in its column, by its margins (PRJ23)."""
+    before, after, wide = F.col(x0) - F.col(left), F.col(right) - F.col(x1), F.col(right) - F.col(left)
+    inside = (before >= 0) & (after >= 0)
+    return (
+        F.when(inside & (after < 0.35 * before) & (before > 0.08 * wide), "right")
+        .when(inside & (F.abs(before - after) < 0.2 * wide) & (before > 0.15 * wide), "center").otherwise("left")
+    )
+
+
+def sideways(boxes: DataFrame, keys: list[str]) -> DataFrame:
+    """n, tall, sideways: whether over 60 per cent of at least three boxes are taller than 1.5 times their width (FLT22)."""
+    tall = F.sum((F.col("y1") - F.col("y0") > 1.5 * (F.col("x1") - F.col("x0"))).cast("bigint"))
+    g = boxes.groupBy(*keys).agg(F.count("*").alias("n"), tall.alias("tall"))
+    return g.withColumn("sideways", (F.col("n") >= 3) & (F.col("tall") > 0.6 * F.col("n")))
+
+
+def orientation_sample(boxes: DataFrame, keys: list[str], k: int = 24) -> DataFrame:
+    """Of the k widest boxes those more than twice as wide as high (SRT5)."""
+    rank = F.row_number().over(W.partitionBy(*keys).orderBy(F.desc(F.col("x1") - F.col("x0")), "id"))
+    return boxes.withColumn("_k", rank).where("_k <= %d and x1 - x0 > 2 * (y1 - y0)" % k).drop("_k")
+
+
+def sure(readings: DataFrame, least: float, strict: bool = True) -> DataFrame:
+    """Readings (text, score) that are not blank and above `least`, or at least that (FLT1, SRC9)."""
+    return readings.where((F.trim("text") != "") & ((F.col("score") > least) if strict else (F.col("score") >= least)))
+
+
+def on_tile_edge(boxes: DataFrame, tile: int, size: int, near: int) -> DataFrame:
+    """Boxes that come within `near` of a border between tiles; the outer borders of the page do not count (FLT8)."""
+    low = lambda c: (F.col(c) % tile <= near) & (F.col(c) >= tile)
+    high = lambda c: (F.col(c) % tile >= tile - near) & (F.col(c) < size - tile)
+    return boxes.where(low("x0") | high("x1") | low("y0") | high("y1"))
+
+
+def alone(markers: DataFrame, entries: DataFrame, height: int) -> DataFrame:
+    """Markers with no entry whose centre is within half a `height` of theirs (FLT9). Centres are binned by the height, so the
+    anti-join is on equal page and bin, a marker looking in its bin and the two next to it."""
+    centre = (F.col("y0") + F.col("y1")) / 2
+    m = markers.withColumn("_c", centre)
+    e = entries.select(F.col("page").alias("_page"), centre.alias("_e")).withColumn("_bin", F.floor(F.col("_e") / height))
+    e = e.select("_page", "_e", F.explode(F.array(F.col("_bin") - 1, F.col("_bin"), F.col("_bin") + 1)).alias("_bin")).distinct()
+    on = (F.col("page") == F.col("_page")) & (F.floor(F.col("_c") / height) == F.col("_bin")) & (F.abs(F.col("_c") - F.col("_e")) < height / 2)
+    return m.join(e, on, "left_anti").drop("_c")
+
+
+def stacked(texts: DataFrame) -> DataFrame:
+    """The lines of a text as boxes of one height in its box (PRJ24)."""
+    t = texts.withColumn("_l", F.split("text", "\n")).withColumn("_h", (F.col("y1") - F.col("y0")) / F.size("_l"))
+    t = t.select("*", F.posexplode("_l").alias("_i", "ltext")).withColumn("line", F.col("_i").cast("bigint"))
+    return t.withColumns({"y1": F.col("y0") + (F.col("_i") + 1) * F.col("_h"), "y0": F.col("y0") + F.col("_i") * F.col("_h")}).drop("_l", "_h", "_i", "text")

@@ -39,7 +39,7 @@ def numeric_columns(cell: DataFrame) -> DataFrame:
     """block_id, col_pos, n, hits, numeric: at least two filled cells, 60 per cent of them like numbers (FLT12)."""
     t = T.strip(F.col("text"))
     filled = cell.where(~F.col("is_header") & F.col("text").isNotNull() & (t != ""))
-    g = filled.groupBy("block_id", "col_pos").agg(F.count("*").alias("n"), F.sum(t.rlike(r"^[\d.,/$€£%+ -]+$").cast("bigint")).alias("hits"))
+    g = filled.groupBy("block_id", "col_pos").agg(F.count("*").alias("n"), F.sum(t.rlike(r"^[\d.,+/ -]+$").cast("bigint")).alias("hits"))
     return g.withColumn("numeric", (F.col("n") >= 2) & (F.col("hits") * 10 >= F.col("n") * 6))
 
 
@@ -130,10 +130,19 @@ def titles(block: DataFrame) -> DataFrame:
     return heads.groupBy("scan_id").agg(F.substring(F.substring_index(first, "\n", 1), 1, 80).alias("title"))
 
 
-def sheet_names(scan: DataFrame) -> DataFrame:
-    """scan_id, sheet: sheet names without forbidden marks, 31 characters, numbered where they repeat (SNK8)."""
-    base = F.substring(F.regexp_replace(F.coalesce("title", F.lit("Sheet")), r"[\[\]:*?/\\]", " "), 1, 31)
-    n = F.row_number().over(W.partitionBy("_base").orderBy("scan_id"))
-    named = scan.select("scan_id", base.alias("_base")).withColumn("_n", n)
-    tail = F.concat(F.lit(" ("), F.col("_n").cast("string"), F.lit(")"))
-    return named.select("scan_id", F.when(F.col("_n") == 1, F.col("_base")).otherwise(F.concat(F.expr("left(_base, 31 - length(concat(' (', cast(_n as string), ')')))"), tail)).alias("sheet"))
+def sheet_names(sheets: DataFrame, book: list[str], order: list[str]) -> DataFrame:
+    """book, order, sheet: the sheets of each workbook in order, named by title (SNK8): forbidden marks as hyphens, 31 characters,
+    `Sheet` where nothing is left, and the first free number where the name is taken already, also by another's numbered name.
+    A fold over the sheets of one workbook, which are as many as a workbook holds."""
+    base = F.substring(F.regexp_replace(F.coalesce("title", F.lit("")), r"[\[\]:*?/\\]", "-"), 1, 31)
+    base = F.when(base == "", "Sheet").otherwise(base)
+
+    def name(i, b):  # noqa: ANN001, ANN202
+        tail = F.concat(F.lit(" ("), i.cast("string"), F.lit(")"))
+        return F.when(i == 1, b).otherwise(F.concat(F.substring(b, F.lit(1), 31 - F.length(tail)), tail))
+
+    free = lambda used, b: F.filter(F.transform(F.sequence(F.lit(1), F.size(used) + 1), lambda i: name(i, b)), lambda x: ~F.array_contains(used, x))[0]
+    listed = sheets.groupBy(*book).agg(F.array_sort(F.collect_list(F.struct(*order, base.alias("_base")))).alias("_all"))
+    named = F.aggregate("_all", F.array().cast("array<string>"), lambda used, s: F.array_append(used, free(used, s["_base"])))
+    flat = listed.withColumn("_names", named).select(*book, F.inline(F.arrays_zip("_all", "_names")))
+    return flat.select(*book, *[F.col("_all")[c].alias(c) for c in order], F.col("_names").alias("sheet"))

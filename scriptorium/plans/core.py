@@ -74,8 +74,8 @@ def typed_numbers(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(r"""
-SELECT block_id, col_pos, count(*) AS n, CAST(sum(CASE WHEN regexp_matches(s, '^[\d.,/$€£%+ -]+$') THEN 1 ELSE 0 END) AS BIGINT) AS hits,
-  count(*) >= 2 AND sum(CASE WHEN regexp_matches(s, '^[\d.,/$€£%+ -]+$') THEN 1 ELSE 0 END) * 10 >= count(*) * 6 AS "numeric"
+SELECT block_id, col_pos, count(*) AS n, CAST(sum(CASE WHEN regexp_matches(s, '^[\d.,+/ -]+$') THEN 1 ELSE 0 END) AS BIGINT) AS hits,
+  count(*) >= 2 AND sum(CASE WHEN regexp_matches(s, '^[\d.,+/ -]+$') THEN 1 ELSE 0 END) * 10 >= count(*) * 6 AS "numeric"
 FROM (SELECT *, regexp_replace(text, '^\s+|\s+$', '', 'g') AS s FROM cell WHERE NOT is_header AND text IS NOT NULL) WHERE s <> '' GROUP BY ALL""")
 def numeric_columns(spark: SparkSession, d: str) -> DataFrame:
     """FLT12."""
@@ -166,11 +166,17 @@ def safe_filenames(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "scan").select("scan_id", T.file_name(F.col("title")).alias("name"))
 
 
-@query(r"""SELECT scan_id, CASE WHEN n = 1 THEN b ELSE left(b, CAST(31 - length(' (' || n || ')') AS INTEGER)) || ' (' || n || ')' END AS sheet
-FROM (SELECT scan_id, b, row_number() OVER (PARTITION BY b ORDER BY scan_id) AS n FROM (SELECT scan_id, substring(regexp_replace(coalesce(title, 'Sheet'), '[\[\]:*?/\\]', ' ', 'g'), 1, 31) AS b FROM scan))""")
+@query(r"""WITH RECURSIVE b AS (SELECT coalesce(device_id, '') AS book, scan_id, row_number() OVER (PARTITION BY coalesce(device_id, ''), CAST(created AS DATE) ORDER BY scan_id) AS k, coalesce(strftime(created, '%Y-%m-%d'), '') AS day,
+  CASE WHEN coalesce(title, '') = '' THEN 'Sheet' ELSE substring(regexp_replace(title, '[\[\]:*?/\\]', '-', 'g'), 1, 31) END AS b FROM scan),
+f AS (SELECT book, day, scan_id, k, b AS sheet, [b] AS used FROM b WHERE k = 1 UNION ALL
+  SELECT book, day, scan_id, k, n AS sheet, list_append(used, n) AS used FROM (SELECT b.book, b.day, b.scan_id, b.k, f.used,
+    list_filter(list_concat([b.b], list_transform(range(2, len(f.used) + 2), lambda i: left(b.b, CAST(31 - length(' (' || i || ')') AS INTEGER)) || ' (' || i || ')')), lambda x: NOT list_contains(f.used, x))[1] AS n
+    FROM f JOIN b ON b.book = f.book AND b.day = f.day AND b.k = f.k + 1))
+SELECT book, day, scan_id, sheet FROM f""")
 def sheet_names_unique(spark: SparkSession, d: str) -> DataFrame:
-    """SNK8."""
-    return model.sheet_names(table(spark, d, "scan"))
+    """SNK8: a device's scans of one day are the sheets of a workbook."""
+    s = table(spark, d, "scan").select(F.coalesce("device_id", F.lit("")).alias("book"), F.coalesce(F.date_format("created", "yyyy-MM-dd"), F.lit("")).alias("day"), "scan_id", "title")
+    return model.sheet_names(s, ["book", "day"], ["scan_id"])
 
 
 @query("SELECT c.cell_id, CASE WHEN coalesce(c.text, '') <> '' THEN coalesce(c.struck, false) OR coalesce(f.s, false) ELSE coalesce(c.struck, false) END AS struck FROM cell c LEFT JOIN (SELECT block_id, row_pos, bool_or(coalesce(struck, false)) AS s FROM cell WHERE col_pos = 0 GROUP BY 1, 2) f USING (block_id, row_pos)")
@@ -504,16 +510,6 @@ def column_letters(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "cell").selectExpr("col_pos + 1 + 40 * row_pos as n").distinct().select("n", T.column_letters(F.col("n")).alias("letters"))
 
 
-@query("SELECT scan_id, avg(CASE WHEN length(ltext) > 40 THEN 1.0 ELSE 0.0 END) > 0.6 AS wide, count(*) AS n FROM (SELECT *, row_number() OVER (PARTITION BY scan_id ORDER BY length(ltext) DESC, block_id, line) AS k FROM (WITH " + V.LINES + " SELECT * FROM lines)) WHERE k <= 24 GROUP BY 1")
-def orientation_vote(spark: SparkSession, d: str) -> DataFrame:
-    """SRT5, FLT22: a vote of the 24 longest lines."""
-    from pyspark.sql import Window as W
-
-    k = F.row_number().over(W.partitionBy("scan_id").orderBy(F.desc(F.length("ltext")), "block_id", "line"))
-    top = V.lines(spark, d).withColumn("_k", k).where("_k <= 24")
-    return top.groupBy("scan_id").agg((F.avg((F.length("ltext") > 40).cast("double")) > 0.6).alias("wide"), F.count("*").alias("n"))
-
-
 def _page_lines(spark: SparkSession, d: str) -> DataFrame:
     """Segments as positioned lines of a page each."""
     w = V.words(spark, d).join(V.lines(spark, d).select("block_id", "line").distinct(), ["block_id", "line"])
@@ -522,7 +518,7 @@ def _page_lines(spark: SparkSession, d: str) -> DataFrame:
         F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("word", "wtext"))), lambda x: x["wtext"]), " ").alias("text")
     )
     s = seg.join(text, ["block_id", "line", "segment"])
-    return s.selectExpr("block_id as page", "line * 1000 + segment as line_id", "text", "cast(x0 as double) as x0", "cast(x1 as double) as x1", "cast(line * 12 as double) as y0", "cast(line * 12 + 10 as double) as y1")
+    return s.selectExpr("block_id as page", "line * 1000 + segment as line_id", "text", "cast(x0 as double) as x0", "cast(x1 as double) as x1", "cast(line * 12 + 3 * (segment % 3) as double) as y0", "cast(line * 12 + 3 * (segment % 3) + 10 + line % 4 as double) as y1")
 
 
 @query("""WITH p AS (SELECT block_id, length(regexp_replace(text, '[^A-Za-zÀ-ɏ]', '', 'g')) AS latin, length(regexp_replace(text, '[^Ѐ-ӿ぀-ヿ一-鿿]', '', 'g')) AS other FROM block WHERE text IS NOT NULL)
@@ -537,7 +533,7 @@ def stray_script(spark: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT scan_id, page_number, arg_min(text, (block_pos, block_id)) FILTER (text IS NOT NULL) AS first_text, bool_or(coalesce(uncertain, false)) AS doubt, count(*) AS blocks FROM block WHERE block_pos IS NOT NULL GROUP BY 1, 2")
 def page_meta(spark: SparkSession, d: str) -> DataFrame:
-    """PRJ18: first non-null text of a page, any doubt."""
+    """First non-null text of a page, any doubt."""
     b = table(spark, d, "block").where("block_pos is not null")
     first = F.min_by("text", F.when(F.col("text").isNotNull(), F.struct("block_pos", "block_id")))
     return b.groupBy("scan_id", "page_number").agg(first.alias("first_text"), F.bool_or(F.coalesce("uncertain", F.lit(False))).alias("doubt"), F.count("*").alias("blocks"))
@@ -545,7 +541,7 @@ def page_meta(spark: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT form_id, round(sum(CASE WHEN regexp_matches(value, '^[0-9]+$') THEN 1.0 ELSE 0.0 END) / count(*), 6) AS share, count(*) AS n, count(DISTINCT key) AS keys FROM key_value GROUP BY 1")
 def form_stats(spark: SparkSession, d: str) -> DataFrame:
-    """AGG22: shares of hits by group."""
+    """Shares of hits by group."""
     g = table(spark, d, "key_value").groupBy("form_id")
     return g.agg(F.round(F.sum(F.coalesce(F.col("value").rlike("^[0-9]+$").cast("double"), F.lit(0.0))) / F.count("*"), 6).alias("share"), F.count("*").alias("n"), F.count_distinct("key").alias("keys"))
 
@@ -620,7 +616,7 @@ def hard_scans(spark: SparkSession, d: str) -> DataFrame:
 
 @query(rf"""WITH o AS (SELECT block_id, CASE WHEN coalesce(page_number, 1) = 1 THEN '' ELSE 'P' || page_number || ' ' END || 'Table ' || row_number() OVER (PARTITION BY scan_id, page_number ORDER BY block_pos NULLS FIRST, block_id) AS sheet FROM block WHERE type = 'table' AND block_id IN (SELECT block_id FROM cell)),
 n AS (SELECT cell_id, regexp_matches(s, '{NUM}') AND NOT (length(regexp_extract(s, '{NUM}', 3)) > 1 AND regexp_extract(s, '{NUM}', 3) LIKE '0%') AND length(replace(regexp_extract(s, '{NUM}', 3), ',', '')) <= 15 AS num FROM (SELECT cell_id, {_STRIP.format("coalesce(text, '')")} AS s FROM cell))
-SELECT c.block_id, sheet, c.row_pos + 1 AS r, c.col_pos + 1 AS c, CASE WHEN num THEN 'number' WHEN coalesce(text, '') LIKE '=%' THEN 'quoted' ELSE 'text' END AS kind, coalesce(c.uncertain, false) AS note FROM cell c JOIN o USING (block_id) JOIN n USING (cell_id)""")
+SELECT c.block_id, sheet, c.row_pos + 1 AS r, c.col_pos + 1 AS c, CASE WHEN num AND NOT coalesce(is_header, false) THEN 'number' WHEN coalesce(text, '') LIKE '=%' THEN 'quoted' ELSE 'text' END AS kind, coalesce(c.uncertain, false) AS note FROM cell c JOIN o USING (block_id) JOIN n USING (cell_id)""")
 def sheet_plan(spark: SparkSession, d: str) -> DataFrame:
     """SNK6, SNK7: where each cell goes in a workbook and how it is written; never as a live formula."""
     c = table(spark, d, "cell")
@@ -628,15 +624,97 @@ def sheet_plan(spark: SparkSession, d: str) -> DataFrame:
     page = F.when(F.coalesce("page_number", F.lit(1)) == 1, "").otherwise(F.concat(F.lit("P"), F.col("page_number"), F.lit(" ")))
     o = o.select("block_id", F.concat(page, F.lit("Table "), F.col("n").cast("string")).alias("sheet"))
     value, _ = T.typed_number(F.coalesce("text", F.lit("")))
-    kind = F.when(value.isNotNull(), "number").when(F.col("text").startswith("="), "quoted").otherwise("text")
+    kind = F.when(value.isNotNull() & ~F.coalesce("is_header", F.lit(False)), "number").when(F.col("text").startswith("="), "quoted").otherwise("text")
     return c.join(o, "block_id").select("block_id", "sheet", (F.col("row_pos") + 1).alias("r"), (F.col("col_pos") + 1).alias("c"), kind.alias("kind"), F.coalesce("uncertain", F.lit(False)).alias("note"))
 
 
-@query(f"WITH {V.MARKS}{V.BOXES} SELECT x0, x1, CASE WHEN abs((50 - x0 % 100) - (x1 % 100 - 50)) <= 5 THEN 'center' WHEN x0 % 100 < 100 - x1 % 100 THEN 'left' ELSE 'right' END AS align, page, id FROM boxes")
+@query(f"""WITH {V.MARKS}{V.BOXES}, m AS (SELECT page, id, x0, x1, x0 % 100 AS l, 100 - (x1 - x0 // 100 * 100) AS r FROM boxes)
+SELECT page, id, x0, x1, CASE WHEN r < 0 THEN 'left' WHEN r < 0.35 * l AND l > 8 THEN 'right' WHEN abs(l - r) < 20 AND l > 15 THEN 'center' ELSE 'left' END AS align FROM m""")
 def cell_alignment(spark: SparkSession, d: str) -> DataFrame:
-    """PRJ23: by the margins in a column 100 wide."""
-    left, right = F.col("x0") % 100, 100 - F.col("x1") % 100
-    return V.boxes(spark, d).select("page", "id", "x0", "x1", F.when(F.abs((50 - left) - (50 - right)) <= 5, "center").when(left < right, "left").otherwise("right").alias("align"))
+    """PRJ23: how a text stands in its column (here 100 wide), by the margins: what runs past the column starts where it starts."""
+    m = V.boxes(spark, d).selectExpr("page", "id", "x0", "x1", "cast(x0 div 100 * 100 as bigint) as c0", "cast(x0 div 100 * 100 + 100 as bigint) as c1")
+    return m.select("page", "id", "x0", "x1", geometry.alignment("x0", "x1", "c0", "c1").alias("align"))
+
+
+@query(f"WITH {V.MARKS}{V.BOXES} SELECT page, count(*) AS n, CAST(sum(CASE WHEN y1 - y0 > 1.5 * (x1 - x0) THEN 1 ELSE 0 END) AS BIGINT) AS tall, count(*) >= 3 AND sum(CASE WHEN y1 - y0 > 1.5 * (x1 - x0) THEN 1 ELSE 0 END) > 0.6 * count(*) AS sideways FROM (SELECT page, y0 AS x0, y1 AS x1, x0 AS y0, x1 AS y1 FROM boxes) GROUP BY 1")
+def sideways_pages(spark: SparkSession, d: str) -> DataFrame:
+    """FLT22: pages on which most boxes are taller than wide; the boxes are turned first, so that some pages are."""
+    return geometry.sideways(V.boxes(spark, d).selectExpr("page", "y0 as x0", "y1 as x1", "x0 as y0", "x1 as y1"), ["page"])
+
+
+@query(f"WITH {V.MARKS}{V.BOXES} SELECT page, id FROM (SELECT *, row_number() OVER (PARTITION BY page ORDER BY x1 - x0 DESC, id) AS k FROM boxes) WHERE k <= 24 AND x1 - x0 > 2 * (y1 - y0)")
+def orientation_sample(spark: SparkSession, d: str) -> DataFrame:
+    """SRT5: of a page's 24 longest lines those that tell which way is up."""
+    return geometry.orientation_sample(V.boxes(spark, d), ["page"]).select("page", "id")
+
+
+@query(f"WITH {V.MARKS} SELECT page, id, x FROM marks WHERE x / 1000.0 > 0.35")
+def sure_lines(spark: SparkSession, d: str) -> DataFrame:
+    """FLT1: readings that are not blank and surer than 0.35; x is the score in thousandths, the id the text."""
+    return geometry.sure(V.marks(spark, d).withColumns({"text": F.col("id").cast("string"), "score": F.col("x") / 1000}), 0.35).select("page", "id", "x")
+
+
+@query(f"WITH {V.MARKS} SELECT page, id FROM marks WHERE least(x, y) / 1000.0 < 0.93")
+def reread_lines(spark: SparkSession, d: str) -> DataFrame:
+    """FLT4: lines with a glyph below 0.93."""
+    return V.marks(spark, d).where(F.least("x", "y") / 1000 < 0.93).select("page", "id")
+
+
+@query(f"WITH {V.WORDS} SELECT block_id, line, word FROM words WHERE trim(wtext) <> '' AND conf - 5 >= 0")
+def scanned_words(spark: SparkSession, d: str) -> DataFrame:
+    """SRC9: words that are not blank and whose confidence is not negative."""
+    return geometry.sure(V.words(spark, d).withColumns({"text": F.col("wtext"), "score": F.col("conf") - 5}), 0, strict=False).select("block_id", "line", "word")
+
+
+@query(f"WITH {V.MARKS}{V.BOXES} SELECT page, id FROM boxes WHERE x0 % 250 <= 4 AND x0 >= 250 OR x1 % 250 >= 246 AND x1 < 750 OR y0 % 250 <= 4 AND y0 >= 250 OR y1 % 250 >= 246 AND y1 < 750")
+def tile_edge_boxes(spark: SparkSession, d: str) -> DataFrame:
+    """FLT8: boxes that touch an inner border of their tile (250 wide, 1000 in all), seen whole in the next tile."""
+    return geometry.on_tile_edge(V.boxes(spark, d), 250, 1000, 4).select("page", "id")
+
+
+@query(f"WITH {V.MARKS}{V.BOXES}, m AS (SELECT * FROM boxes WHERE x1 - x0 < 24), e AS (SELECT * FROM boxes WHERE x1 - x0 >= 24) SELECT page, id FROM m WHERE NOT EXISTS (SELECT 1 FROM e WHERE e.page = m.page AND abs((e.y0 + e.y1) / 2.0 - (m.y0 + m.y1) / 2.0) < 1)")
+def lone_markers(spark: SparkSession, d: str) -> DataFrame:
+    """FLT9: markers (narrow boxes) with no entry (a wide one) at their height."""
+    b = V.boxes(spark, d)
+    return geometry.alone(b.where("x1 - x0 < 24"), b.where("x1 - x0 >= 24"), 2).select("page", "id")
+
+
+@query(f"WITH {V.MARKS} SELECT page, rule, x, row_number() OVER (PARTITION BY page ORDER BY x * 0.01 * 400 + x, rule) AS k FROM (WITH {V.MARKS} SELECT * FROM rules)")
+def rules_at_mid_height(spark: SparkSession, d: str) -> DataFrame:
+    """SRT7: rules from left to right where they cross the page's middle (height 800, slope growing with x)."""
+    from pyspark.sql import Window as W
+
+    at = F.col("x") * 0.01 * 400 + F.col("x")
+    return V.rules(spark, d).select("page", "rule", "x", F.row_number().over(W.partitionBy("page").orderBy(at, "rule")).alias("k"))
+
+
+@query("SELECT block_id, page_number, scan_id FROM block WHERE block_id NOT IN (SELECT block_id FROM cell WHERE block_id IS NOT NULL)")
+def unused_items(spark: SparkSession, d: str) -> DataFrame:
+    """SET3: the items no table uses."""
+    return table(spark, d, "block").join(table(spark, d, "cell").select("block_id"), "block_id", "left_anti").select("block_id", "page_number", "scan_id")
+
+
+@query(f"WITH {V.MARKS} SELECT page, id, x, CASE WHEN 0.299 * (x % 256) + 0.587 * (y % 256) + 0.114 * (id % 256) < 120 THEN 'FFFFFF' ELSE '000000' END AS ink FROM marks")
+def readable_ink(spark: SparkSession, d: str) -> DataFrame:
+    """PRJ30: white on fills of a luminance under 120, else black."""
+    m = V.marks(spark, d)
+    fill = F.concat(*[F.lpad(F.hex(F.col(c) % 256), 2, "0") for c in ("x", "y", "id")])
+    return m.select("page", "id", "x", T.readable_ink(fill).alias("ink"))
+
+
+@query(f"WITH {V.LINES} SELECT block_id, line, ltext, 100.0 * line / n AS y0, 100.0 * (line + 1) / n AS y1 FROM (SELECT *, count(*) OVER (PARTITION BY block_id) AS n FROM lines)")
+def stacked_lines(spark: SparkSession, d: str) -> DataFrame:
+    """PRJ24: a text's lines as boxes of one height in a box 100 high."""
+    b = table(spark, d, "block").where("text is not null").select("block_id", "text", F.lit(0.0).alias("y0"), F.lit(100.0).alias("y1"))
+    return geometry.stacked(b).select("block_id", "line", "ltext", "y0", "y1")
+
+
+@query("""SELECT device_id, strftime(created, '%Y-%m-%d') AS day, arg_min(title, (created, scan_id)) FILTER (title IS NOT NULL) AS title, arg_min(language, (created, scan_id)) FILTER (language IS NOT NULL) AS language,
+bool_or(coalesce(handwritten, false)) AS handwritten FROM scan GROUP BY 1, 2""")
+def merged_meta(spark: SparkSession, d: str) -> DataFrame:
+    """PRJ18: first title and language that are there, any handwriting; the parts are a device's scans of a day."""
+    first = lambda c: F.min_by(c, F.when(F.col(c).isNotNull(), F.struct("created", "scan_id"))).alias(c)
+    return table(spark, d, "scan").groupBy("device_id", F.date_format("created", "yyyy-MM-dd").alias("day")).agg(first("title"), first("language"), F.bool_or(F.coalesce("handwritten", F.lit(False))).alias("handwritten"))
 
 
 @query("SELECT scan_id, coalesce(title, strftime(created, '%Y-%m-%d %H%M')) AS name FROM scan WHERE created IS NOT NULL")
@@ -654,7 +732,19 @@ def json_export(spark: SparkSession, d: str) -> DataFrame:
     return pages.withColumn("signature", F.sha2("json", 256))
 
 
-@query()
+_PLACED = f"""{V.WORDS}, g AS (SELECT *, lag(x0 + w) OVER (PARTITION BY block_id, line ORDER BY word) AS p FROM words),
+s AS (SELECT *, sum(CASE WHEN x0 - p > 25 OR p IS NULL THEN 1 ELSE 0 END) OVER (PARTITION BY block_id, line ORDER BY word) AS segment FROM g),
+ln AS (SELECT block_id AS page, CAST(line * 1000 + segment AS BIGINT) AS line_id, string_agg(wtext, ' ' ORDER BY word) AS text, min(x0) AS x0, max(x0 + w) AS x1, line * 12 + 3 * (segment % 3) AS y0, line * 12 + 3 * (segment % 3) + 10 + line % 4 AS y1 FROM s GROUP BY block_id, line, segment),
+lv AS (SELECT *, y1 - y0 AS h, (y0 + y1) / 2.0 AS v FROM ln), bd AS (SELECT page, l[len(l) // 2 + 1] AS body FROM (SELECT page, list(h ORDER BY h) AS l FROM lv GROUP BY page)),
+b1 AS (SELECT lv.*, body, v - lag(v) OVER o AS dv, lag(h) OVER o AS ph FROM lv JOIN bd USING (page) WINDOW o AS (PARTITION BY page ORDER BY v, x0, line_id)),
+b2 AS (SELECT *, sum(CASE WHEN dv IS NULL OR dv > greatest(0.3 * body, 0.5 * least(h, ph)) THEN 1 ELSE 0 END) OVER (PARTITION BY page ORDER BY v, x0, line_id) AS band FROM b1),
+b3 AS (SELECT *, max(x1) OVER (PARTITION BY page, band ORDER BY x0, line_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM b2),
+b4 AS (SELECT *, sum(CASE WHEN reach IS NULL OR reach - x0 <= 0.5 * (x1 - x0) THEN 1 ELSE 0 END) OVER (PARTITION BY page, band ORDER BY x0, line_id) AS heap FROM b3),
+b5 AS (SELECT *, row_number() OVER (PARTITION BY page, band, heap ORDER BY v, x0, line_id) AS deep FROM b4),
+placed AS (SELECT *, CAST(dense_rank() OVER (PARTITION BY page ORDER BY band, deep) - 1 AS BIGINT) AS row FROM b5)"""
+
+
+@query(f"WITH {_PLACED} SELECT page, row, line_id FROM placed")
 def visual_rows(spark: SparkSession, d: str) -> DataFrame:
     """WIN8, LAY8."""
     return layout.visual_rows(_page_lines(spark, d))
@@ -662,11 +752,27 @@ def visual_rows(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def layout_blocks(spark: SparkSession, d: str) -> DataFrame:
-    """LAY1, WIN10, WIN13, WIN14."""
+    """LAY1, WIN10 to WIN14, WIN24, FLT19, STR7."""
     return layout.layout(_page_lines(spark, d))
 
 
-@query()
+@query(f"""WITH {_PLACED}, r1 AS (SELECT *, median(h) OVER (PARTITION BY page, row) AS rh, max(x1) OVER (PARTITION BY page, row ORDER BY x0, line_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS rr FROM placed),
+r2 AS (SELECT *, sum(CASE WHEN rr IS NULL OR x0 - rr >= 0.5 * rh THEN 1 ELSE 0 END) OVER (PARTITION BY page, row ORDER BY x0, line_id) AS piece FROM r1),
+r3 AS (SELECT page, row, piece, string_agg(text, ' ' ORDER BY x0, line_id) AS text, min(x0) AS x0, max(x1) AS x1, min(rh) AS rh FROM r2 GROUP BY 1, 2, 3),
+r4 AS (SELECT *, lag(x1) OVER (PARTITION BY page, row ORDER BY piece) AS px FROM r3),
+r5 AS (SELECT page, row, string_agg(CASE WHEN px IS NULL THEN '' WHEN x0 - px < 10 * rh THEN chr(31) ELSE chr(28) END || text, '' ORDER BY piece) AS m FROM r4 GROUP BY 1, 2),
+r6 AS (SELECT page, row, string_split(regexp_replace(regexp_replace(regexp_replace(m, '[\\x1f\\x1c][. ]*:', ' :', 'g'), ':(\\d)', chr(27) || '\\1', 'g'), '{layout.LABELLED.replace("'", "''")}', chr(30) || '\\1' || chr(29) || '\\3', 'g'), chr(30)) AS parts FROM r5),
+r7 AS (SELECT page, row, unnest(parts[2:]) AS p FROM r6), r8 AS (SELECT page, row, string_split(p, chr(29))[1] AS label, string_split(p, chr(29))[2] AS rest FROM r7),
+r9 AS (SELECT *, string_split_regex(rest, '[\\x1f\\x1c]') AS q FROM r8)
+SELECT page, row, trim(replace(regexp_replace(label, ' *[.]{{2,}}$', ''), chr(27), ':')) AS key, trim(replace(CASE WHEN trim(q[1]) = '' AND ltrim(rest) LIKE chr(31) || '%' THEN q[2] ELSE q[1] END, chr(27), ':')) AS value FROM r9""")
 def form_fields(spark: SparkSession, d: str) -> DataFrame:
     """STR6."""
     return layout.form_fields(_page_lines(spark, d))
+
+
+@query()
+def flat_pages(spark: SparkSession, d: str) -> DataFrame:
+    """LAY6, AGG14, AGG15: the heights of lines on pages whose lines sag by their slope."""
+    p = _page_lines(spark, d).withColumn("slope", 0.0001 * (F.col("x0") + F.col("x1")) / 2)
+    bent = F.col("slope") * (F.col("x0") + F.col("x1")) / 4
+    return layout.flattened(p.withColumns({"y0": F.col("y0") + bent, "y1": F.col("y1") + bent})).select("page", "line_id", F.round("v", 6).alias("v"))

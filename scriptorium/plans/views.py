@@ -1,7 +1,8 @@
 """Integer views over the test tables on which the positional operators run, in Spark and as SQL of the same meaning.
 
 Words stand in lines of paragraphs: 8 units a character, 10 high, 12 a line, with a gap of 60 or 4 before a word. Marks come
-from the events: a page is a user, x and y are taken from value and id.
+from the events: a page is 400 events on end, so pages grow in number with the table; x and y are taken from value and id. A
+page's rules stand at the left ends of the 50 wide bands its marks are in.
 """
 
 from __future__ import annotations
@@ -14,7 +15,7 @@ from scriptorium.sources import table
 
 LINES = (
     "lines AS (SELECT block_id, scan_id, page_number, block_pos, unnest(l) AS ltext, CAST(unnest(range(len(l))) AS BIGINT) AS line FROM "
-    "(SELECT *, string_split(text, chr(10)) AS l FROM block WHERE type = 'paragraph' AND text IS NOT NULL))"
+    "(SELECT *, string_split(text, chr(10)) AS l FROM block WHERE text IS NOT NULL))"
 )
 WORDS = LINES + (
     ", w0 AS (SELECT block_id, line, unnest(l) AS wtext, CAST(unnest(range(len(l))) AS BIGINT) AS word FROM (SELECT *, string_split(ltext, ' ') AS l FROM lines))"
@@ -23,8 +24,8 @@ WORDS = LINES + (
     ", words AS (SELECT block_id, line, word, wtext, w, conf, CAST(sum(gap + w) OVER (PARTITION BY block_id, line ORDER BY word) - w AS BIGINT) AS x0 FROM w1)"
 )
 MARKS = (
-    "marks AS (SELECT event_id AS id, user_id % 40 AS page, CAST(floor(abs(value) * 10) AS BIGINT) % 1000 AS x, event_id * 37 % 800 AS y FROM events WHERE value IS NOT NULL)"
-    ", rules AS (SELECT user_id % 40 AS page, min(event_id) AS rule, CAST(floor(abs(value) * 10) AS BIGINT) % 1000 AS x FROM events WHERE value IS NOT NULL AND event_id % 97 = 0 GROUP BY 1, 3)"
+    "marks AS (SELECT event_id AS id, event_id // 400 AS page, CAST(floor(abs(value) * 10) AS BIGINT) % 1000 AS x, event_id * 37 % 800 AS y FROM events WHERE value IS NOT NULL)"
+    ", rules AS (SELECT page, min(id) AS rule, x // 50 * 50 AS x FROM marks GROUP BY 1, 3)"
     ", cols AS (SELECT page, CAST(row_number() OVER (PARTITION BY page ORDER BY x) AS BIGINT) AS c, x AS x0, lead(x) OVER (PARTITION BY page ORDER BY x) AS x1 FROM (SELECT DISTINCT page, x FROM rules))"
     ", gcols AS (SELECT * FROM cols WHERE x1 IS NOT NULL)"
     ", grows AS (SELECT page, CAST(r AS BIGINT) AS r, CAST(r * 50 AS BIGINT) AS y0, CAST(r * 50 + 50 AS BIGINT) AS y1 FROM (SELECT DISTINCT page FROM marks), (SELECT unnest(range(16)) AS r))"
@@ -32,7 +33,7 @@ MARKS = (
 
 
 def lines(spark: SparkSession, d: str) -> DataFrame:
-    b = table(spark, d, "block").where("type = 'paragraph' and text is not null")
+    b = table(spark, d, "block").where("text is not null")
     return b.select("block_id", "scan_id", "page_number", "block_pos", F.posexplode(F.split("text", "\n")).alias("_l", "ltext")).withColumn("line", F.col("_l").cast("bigint")).drop("_l")
 
 
@@ -43,11 +44,11 @@ def words(spark: SparkSession, d: str) -> DataFrame:
 
 
 def marks(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "events").where("value is not null").selectExpr("event_id as id", "user_id % 40 as page", "cast(floor(abs(value) * 10) as bigint) % 1000 as x", "event_id * 37 % 800 as y")
+    return table(spark, d, "events").where("value is not null").selectExpr("event_id as id", "event_id div 400 as page", "cast(floor(abs(value) * 10) as bigint) % 1000 as x", "event_id * 37 % 800 as y")
 
 
 def rules(spark: SparkSession, d: str) -> DataFrame:
-    return marks(spark, d).where("id % 97 = 0").groupBy("page", "x").agg(F.min("id").alias("rule"))
+    return marks(spark, d).groupBy("page", F.expr("x div 50 * 50").alias("x")).agg(F.min("id").alias("rule"))
 
 
 def grid(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
