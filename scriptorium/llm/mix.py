@@ -74,7 +74,7 @@ def _drawn(counted: DataFrame, plan: list[dict], seed: int) -> DataFrame:
     numbered = numbered.where("n_tokens > 0").withColumn("_block", F.shiftrightunsigned("_row", BLOCK_BITS))
     before = numbered.groupBy("source", "_block").agg(F.count("*").alias("n"))
     before = before.withColumn("_before", F.coalesce(F.sum("n").over(W.partitionBy("source").orderBy("_block").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
-    rank = F.row_number().over(W.partitionBy("source", "_block").orderBy("_row"))
+    rank = F.row_number().over(W.partitionBy("source", "_block").orderBy("n_tokens", "_row"))  # by length: every draw is spread over the lengths
     placed = numbered.withColumn("_rank", rank).join(before.select("source", "_block", "_before"), ["source", "_block"])
     placed = placed.join(F.broadcast(part), "source")
     end = F.col("offset") + F.col("copies") * (F.col("_before") + F.col("_rank"))
@@ -88,7 +88,7 @@ def mix(docs: DataFrame, targets: DataFrame, vocabulary: str = VOCABULARY, seed:
     `targets` (mix_name, source, target_share, max_repeat, budget_ratio) is a parameter table and fetched to the driver.
     Shares count relative to their sum within a mix; the total wanted is budget_ratio times the tokens of all documents. Spelt
     variants of a source are one. Null sources, sources absent from a mix, null and empty texts are not drawn; absent sources
-    give nothing. Repeated rows are records of their own. The same table and seed give the same records.
+    give nothing. Repeated rows are records of their own. The same table, split alike, and seed give the same records.
     """
     counted, plan = _prepared(docs, targets, vocabulary)
     return _drawn(counted, plan, seed).withColumn("copy", F.explode(F.sequence(F.lit(1), "n_copies"))).drop("n_copies")
