@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scriptorium.functions import text as T
-from scriptorium.operators import eav, flatten, geometry, history, layout, model, quality
+from scriptorium.operators import eav, export, flatten, geometry, history, layout, model, quality
 from scriptorium.plans import views as V
 from scriptorium.sources import table
 
@@ -723,13 +723,43 @@ def default_names(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "scan").where("created is not null").select("scan_id", F.coalesce("title", F.date_format("created", "yyyy-MM-dd HHmm")).alias("name"))
 
 
+_FILES = _ROWS + r""", st AS (SELECT scan_id, CASE WHEN f = '' THEN 'scan' ELSE f END AS stem, nullif(title, '') AS title FROM (SELECT scan_id, title, substring(regexp_replace(regexp_replace(coalesce(title, ''), '[^\w\- ]+', '', 'g'), '^\s+|\s+$', '', 'g'), 1, 80) AS f FROM scan)),
+sh AS (SELECT block_id, max(col_pos) AS w FROM cell GROUP BY 1), ro AS (SELECT DISTINCT block_id, row_pos FROM cell),
+pl AS (SELECT ro.block_id, ro.row_pos, unnest(range(w + 1)) AS col_pos FROM ro JOIN sh USING (block_id)),
+pa AS (SELECT pl.block_id, pl.row_pos, pl.col_pos, coalesce(c.cell_id, -1) AS cell_id, coalesce(c.text, '') AS text, coalesce(struck, false) AS struck, coalesce(uncertain, false) AS uncertain FROM pl LEFT JOIN cell c ON c.block_id = pl.block_id AND c.row_pos = pl.row_pos AND c.col_pos = pl.col_pos)"""
+
+
+@query(f"""WITH {_FILES}, ml AS (SELECT block_id, row_pos, max(col_pos) + 1 AS w, '| ' || string_agg(CASE WHEN struck AND text <> '' THEN '~~' || m || '~~' ELSE m END || CASE WHEN uncertain THEN ' ⚠' ELSE '' END, ' | ' ORDER BY col_pos, cell_id) || ' |' AS line
+  FROM (SELECT *, replace(replace(text, '|', '\\|'), chr(10), '<br>') AS m FROM pa) GROUP BY 1, 2),
+mt AS (SELECT block_id, string_agg(CASE WHEN k = 1 THEN line || chr(10) || '|' || repeat('---|', CAST(w AS INTEGER)) ELSE line END, chr(10) ORDER BY row_pos) AS r FROM (SELECT *, row_number() OVER (PARTITION BY block_id ORDER BY row_pos) AS k FROM ml) GROUP BY 1),
+parts AS (SELECT b.scan_id, coalesce(b.page_number, 1) AS page, 1 AS part, coalesce(b.block_pos, -1) AS pos, b.block_id,
+  CASE WHEN type = 'heading' THEN repeat('#', CAST(least(6, coalesce(level, 1) + CASE WHEN st.title IS NULL THEN 0 ELSE 1 END) AS INTEGER)) || ' ' || coalesce(b.text, '') ELSE coalesce(mt.r, bt.text) END || chr(10) AS text
+  FROM block b JOIN bt USING (block_id) LEFT JOIN mt USING (block_id) LEFT JOIN st ON st.scan_id = b.scan_id WHERE b.scan_id IS NOT NULL
+ UNION ALL SELECT scan_id, coalesce(page_number, 1), 2, 0, 0, string_agg('- **' || coalesce(key, '') || ':** ' || coalesce(value, ''), chr(10) ORDER BY coalesce(pair_pos, -1), kv_id) || chr(10) FROM key_value WHERE scan_id IS NOT NULL GROUP BY 1, 2),
+pg AS (SELECT DISTINCT scan_id, page FROM parts), mk AS (SELECT scan_id, page, 0 AS part, 0 AS pos, 0 AS block_id, '<!-- page ' || page || ' -->' AS text FROM pg WHERE scan_id IN (SELECT scan_id FROM pg GROUP BY 1 HAVING count(*) > 1)),
+body AS (SELECT scan_id, string_agg(text, chr(10) ORDER BY page, part, pos, block_id) AS text FROM (SELECT * FROM parts UNION ALL SELECT * FROM mk) GROUP BY 1)
+SELECT scan_id, coalesce(stem, 'scan') || '.md' AS file, regexp_replace(coalesce('# ' || title || chr(10) || chr(10), '') || text, '^\\s+|\\s+$', '', 'g') || chr(10) AS text FROM body LEFT JOIN st USING (scan_id)""")
+def markdown_files(spark: SparkSession, d: str) -> DataFrame:
+    """SNK1, SNK3."""
+    return export.export("md", table(spark, d, "scan"), table(spark, d, "block").where("scan_id is not null"), table(spark, d, "cell"), table(spark, d, "key_value"))
+
+
+@query(f"""WITH {_FILES}, cl AS (SELECT block_id, row_pos, string_agg(CASE WHEN regexp_matches(text, '[",\\r\\n]') THEN '"' || replace(text, '"', '""') || '"' ELSE text END, ',' ORDER BY col_pos, cell_id) AS line FROM pa GROUP BY 1, 2),
+ct AS (SELECT block_id, string_agg(line, chr(13) || chr(10) ORDER BY row_pos) AS text FROM cl GROUP BY 1),
+nu AS (SELECT scan_id, coalesce(page_number, 1) AS page, block_id, row_number() OVER (PARTITION BY scan_id, page_number ORDER BY block_pos NULLS FIRST, block_id) AS n, count(*) OVER (PARTITION BY scan_id) AS k FROM block WHERE type = 'table' AND scan_id IS NOT NULL AND block_id IN (SELECT block_id FROM cell)),
+pt AS (SELECT scan_id, regexp_replace(string_agg(text, chr(10) || chr(10) ORDER BY page_number NULLS FIRST, block_pos NULLS FIRST, block_id), '^\\s+|\\s+$', '', 'g') AS text FROM bt WHERE scan_id IS NOT NULL AND scan_id NOT IN (SELECT scan_id FROM nu) GROUP BY 1),
+al AS (SELECT scan_id, CASE WHEN k > 1 THEN 'page' || page || '_table' || n || '.csv' END AS entry, text FROM nu JOIN ct USING (block_id)
+ UNION ALL SELECT scan_id, NULL, array_to_string(list_transform(string_split(text, chr(10)), lambda x: CASE WHEN regexp_matches(x, '[",\\r\\n]') THEN '"' || replace(x, '"', '""') || '"' ELSE x END), chr(13) || chr(10)) FROM pt)
+SELECT scan_id, coalesce(stem, 'scan') || CASE WHEN entry IS NULL THEN '.csv' ELSE '.zip' END AS file, entry, chr(65279) || text || chr(13) || chr(10) AS text FROM al LEFT JOIN st USING (scan_id)""")
+def csv_files(spark: SparkSession, d: str) -> DataFrame:
+    """SNK1, SNK2."""
+    return export.export("csv", table(spark, d, "scan"), table(spark, d, "block").where("scan_id is not null"), table(spark, d, "cell"), table(spark, d, "key_value"))
+
+
 @query()
 def json_export(spark: SparkSession, d: str) -> DataFrame:
-    """SNK5, PRJ20: each page as JSON text with a signature of its content."""
-    b = table(spark, d, "block")
-    one = F.struct("block_pos", "type", "text", "level", "items", "ordered", "checked", "uncertain", "confidence")
-    pages = b.groupBy("scan_id", "page_number").agg(F.to_json(F.array_sort(F.collect_list(one))).alias("json"))
-    return pages.withColumn("signature", F.sha2("json", 256))
+    """SNK1, SNK5, PRJ20: each document as JSON with a signature of its content."""
+    return export.export("json", table(spark, d, "scan"), table(spark, d, "block").where("scan_id is not null"), table(spark, d, "cell"), table(spark, d, "key_value"))
 
 
 _PLACED = f"""{V.WORDS}, g AS (SELECT *, lag(x0 + w) OVER (PARTITION BY block_id, line ORDER BY word) AS p FROM words),
