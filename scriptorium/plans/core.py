@@ -207,11 +207,11 @@ def doubt_counts(spark: SparkSession, d: str) -> DataFrame:
 
 _CLASS = rf"CASE WHEN regexp_matches(ltext, '{T.CHECKBOX}') THEN 'checkbox' WHEN regexp_matches(ltext, '{T.BULLET}') THEN 'bullet' WHEN regexp_matches(ltext, '{T.KEY_VALUE}') AND regexp_replace(regexp_extract(ltext, '{T.KEY_VALUE}', 1), '^\s+|\s+$', '', 'g') <> '' AND NOT regexp_matches(regexp_extract(ltext, '{T.KEY_VALUE}', 1), '\d$') THEN 'key_value' ELSE 'text' END"
 #: Lines of text, list items with a bullet and pairs as `key: value`: each class of line occurs.
-_MIXED = rf"mixed AS (SELECT block_id AS page, line, ltext FROM lines UNION ALL SELECT -kv_id, CAST(0 AS BIGINT), key || ': ' || coalesce(value, '') FROM key_value WHERE key IS NOT NULL UNION ALL SELECT block_id * 1000, CAST(unnest(range(len(items))) AS BIGINT), '- ' || unnest(items) FROM block WHERE items IS NOT NULL)"
+_MIXED = rf"mixed AS (SELECT block_id AS page, line, ltext FROM lines UNION ALL SELECT -kv_id, CAST(0 AS BIGINT), key || ': ' || coalesce(value, '') FROM key_value WHERE key IS NOT NULL UNION ALL SELECT block_id + 1000000000000, CAST(unnest(range(len(items))) AS BIGINT), '- ' || unnest(items) FROM block WHERE items IS NOT NULL)"
 
 
 def _mixed(spark: SparkSession, d: str) -> DataFrame:
-    items = table(spark, d, "block").where("items is not null").select((F.col("block_id") * 1000).alias("page"), F.posexplode("items").alias("_i", "_t")).select("page", F.col("_i").cast("bigint").alias("line"), F.concat(F.lit("- "), "_t").alias("ltext"))
+    items = table(spark, d, "block").where("items is not null").select((F.col("block_id") + 1000000000000).alias("page"), F.posexplode("items").alias("_i", "_t")).select("page", F.col("_i").cast("bigint").alias("line"), F.concat(F.lit("- "), "_t").alias("ltext"))
     pairs = table(spark, d, "key_value").where("key is not null").select((-F.col("kv_id")).alias("page"), F.lit(0).cast("bigint").alias("line"), F.concat("key", F.lit(": "), F.coalesce("value", F.lit(""))).alias("ltext"))
     return V.lines(spark, d).select(F.col("block_id").alias("page"), "line", "ltext").unionByName(pairs).unionByName(items)
 
