@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import json
+import re
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: The attributes' wordings on forms besides their printed labels.
+#: The attributes' wordings on the forms at hand besides their printed labels; a parameter of all operators here.
 WORDINGS = {
     "invoice_no": ["inv no", "invoice #", "invoice number", "rechnungs nr"],
     "invoice_date": ["inv date", "date of invoice", "rechn datum"],
@@ -47,6 +48,11 @@ NO = ["false", "no", "n", "nein", "non", "não", "☐", "□", "[ ]", "[]", "0"]
 BLANKS = "\t\n\x0b\x0c\r                 　﻿"
 
 
+#: Marks in keys that count as blanks, and glyphs that recognition confuses, each to the one of its class.
+MARKS = ".:_·•…-‐‑‒–—―"
+FROM, TO = "01|icf589", "ollletsbg"
+
+
 def tidy(text: Column) -> Column:
     """Outer blanks cut, inner runs made one blank."""
     flat = F.trim(F.translate(text, BLANKS, " " * len(BLANKS)))
@@ -55,14 +61,38 @@ def tidy(text: Column) -> Column:
 
 def key_skeleton(key: Column) -> Column:
     """A key without case, punctuation and confusable glyphs, so that a misread key equals the printed one."""
-    marks = ".:_·•…-‐‑‒–—―"
-    bare = tidy(F.translate(F.lower(key), marks, " " * len(marks)))
-    return F.translate(F.replace(bare, F.lit("rn"), F.lit("m")), "01|icf589", "ollletsbg")
+    bare = tidy(F.translate(F.lower(key), MARKS, " " * len(MARKS)))
+    return F.translate(F.replace(bare, F.lit("rn"), F.lit("m")), FROM, TO)
+
+
+def wording_map(attrs: list[tuple[str, str, str, str]], wordings: dict[str, list[str]] | None = None) -> dict[str, str]:
+    """Normalised wording to attribute, from the (attr, dtype, label_en, label_de) rows and `wordings` (WORDINGS if not given)."""
+    more = WORDINGS if wordings is None else wordings
+    return {w: a for a, _, en, de in attrs for w in [*(x for x in (en, de) if x), a.replace("_", " "), *more.get(a, [])]}
+
+
+def skeleton_of(wording: str) -> str:
+    """`key_skeleton` of one wording, on the driver."""
+    bare = re.sub(" +", " ", wording.lower().translate(str.maketrans({c: " " for c in MARKS + BLANKS}))).strip()
+    return bare.replace("rn", "m").translate(str.maketrans(FROM, TO))
+
+
+def wording_table(spark: SparkSession, attrs: list[tuple[str, str, str, str]], wordings: dict[str, list[str]] | None = None) -> DataFrame:
+    """_k, attr, dtype: the few skeletons of all wordings. Two attributes whose wordings have one skeleton can't be told apart on
+    a form, which is an error."""
+    kinds, by = {a: d for a, d, *_ in attrs}, {}
+    for w, a in wording_map(attrs, wordings).items():
+        if by.setdefault(skeleton_of(w), a) != a:
+            raise ValueError(f"{w!r} may mean {by[skeleton_of(w)]} or {a}")
+    return literal_table(spark, [(k, a, kinds[a]) for k, a in by.items()], ["_k", "attr", "dtype"])
 
 
-def wording_map(attrs: list[tuple[str, str, str, str]]) -> dict[str, str]:
-    """Normalised wording to attribute, from the (attr, dtype, label_en, label_de) rows and WORDINGS."""
-    return {w: a for a, _, en, de in attrs for w in [*(x for x in (en, de) if x), a.replace("_", " "), *WORDINGS.get(a, [])]}
+def unknown_keys(pairs: DataFrame, attrs: DataFrame, wordings: dict[str, list[str]] | None = None) -> DataFrame:
+    """key, n: the keys, without case, marks and confusable glyphs, that mean no attribute, and on how many rows; pre-aggregated,
+    so a key that holds a third of the rows is one row of each task."""
+    words = wording_table(pairs.sparkSession, [tuple(r) for r in attrs.select("attr", "dtype", "label_en", "label_de").collect()], wordings)
+    keys = pairs.where("key is not null").groupBy(key_skeleton(F.col("key")).alias("_k")).agg(F.count("*").alias("n"))
+    return keys.join(F.broadcast(words.select("_k")), "_k", "left_anti").withColumnRenamed("_k", "key")
 
 
 #: A number with what may stand around it (lower case): sign or bracket, currency, sign or bracket, figures, unit.
@@ -124,7 +154,7 @@ def literal_table(spark: SparkSession, rows: list[tuple[str, ...]], names: list[
     return spark.range(1).select(F.inline(F.from_json(F.lit(json.dumps([dict(zip(names, r)) for r in rows])), schema)))
 
 
-def resolve(pairs: DataFrame, attrs: DataFrame, locales: DataFrame | None = None) -> DataFrame:
+def resolve(pairs: DataFrame, attrs: DataFrame, locales: DataFrame | None = None, wordings: dict[str, list[str]] | None = None) -> DataFrame:
     """Rows of `pairs` whose key means an attribute: form_id, attr, dtype, raw, value (null: a cast failure), read_at, kv_id.
 
     attrs is a table of a form's attributes: its few rows are fetched to the driver and become literals of the plan; the
@@ -133,9 +163,7 @@ def resolve(pairs: DataFrame, attrs: DataFrame, locales: DataFrame | None = None
     a null form_id is an entity of its own. Without a locale, English notation holds.
     """
     rows = [tuple(r) for r in attrs.select("attr", "dtype", "label_en", "label_de").collect()]
-    types = {a: d for a, d, *_ in rows}
-    words = literal_table(pairs.sparkSession, [(w, a, types[a]) for w, a in wording_map(rows).items()], ["w", "attr", "dtype"])
-    words = words.groupBy(key_skeleton(F.col("w")).alias("_k")).agg(F.min("attr").alias("attr"), F.min("dtype").alias("dtype"))
+    words = wording_table(pairs.sparkSession, rows, wordings)
     base = pairs.select("form_id", "scan_id", key_skeleton(F.col("key")).alias("_k"), F.col("value").alias("raw"), "read_at", "kv_id")
     base = base.join(F.broadcast(words), "_k").drop("_k")
     if locales is None:
@@ -146,7 +174,7 @@ def resolve(pairs: DataFrame, attrs: DataFrame, locales: DataFrame | None = None
     return with_reading(base).select("form_id", "attr", "dtype", "raw", "value", "read_at", "kv_id")
 
 
-def pivot(pairs: DataFrame, attrs: DataFrame, locales: DataFrame | None = None, typed: bool = True) -> DataFrame:
+def pivot(pairs: DataFrame, attrs: DataFrame, locales: DataFrame | None = None, typed: bool = True, wordings: dict[str, list[str]] | None = None) -> DataFrame:
     """One row per form_id: a column per attribute in the order of `attrs`, typed by its dtype (typed=False: as written
     text), and `failed`, a map from attribute to the last raw value that could not be read as its dtype.
 
@@ -158,14 +186,15 @@ def pivot(pairs: DataFrame, attrs: DataFrame, locales: DataFrame | None = None,
     names = [(r.attr, r.dtype) for r in attrs.select("attr", "dtype").collect()]
     order = F.struct("read_at", "kv_id", F.coalesce("value", "raw").alias("v"))
     empty = F.col("value").isNull() & ~F.lower(F.coalesce(tidy(F.col("raw")), F.lit(""))).isin(NO_VALUE)
-    best = resolve(pairs, attrs, locales).groupBy("form_id", "attr").agg(
+    best = resolve(pairs, attrs, locales, wordings).groupBy("form_id", "attr").agg(
         F.max(F.when(F.col("value").isNotNull(), order))["v"].alias("value"), F.max(F.when(empty, order))["v"].alias("bad")
     )
     entry = lambda c: F.map_from_entries(F.collect_list(F.when(F.col(c).isNotNull(), F.struct("attr", c))))
     wide = best.groupBy("form_id").agg(entry("value").alias("m"), entry("bad").alias("failed"))
-    return wide.selectExpr("form_id", *[f"cast(m['{a}'] as {SQL[d] if typed else 'string'}) AS `{a}`" for a, d in names], "failed")
+    return wide.select("form_id", *[F.col("m")[a].cast(SQL[d] if typed else "string").alias(a) for a, d in names], "failed")
 
 
 def found(wide: DataFrame, attrs: list[str]) -> DataFrame:
     """The wide rows read back as (form_id, attr, value), values as written."""
-    return wide.selectExpr("form_id", f"stack({len(attrs)}, " + ", ".join(f"'{a}', `{a}`" for a in attrs) + ") AS (attr, value)").where("value is not null")
+    named = F.array(*[F.struct(F.lit(a).alias("attr"), F.col(f"`{a.replace('`', '``')}`").alias("value")) for a in attrs])
+    return wide.select("form_id", F.inline(named)).where("value is not null")

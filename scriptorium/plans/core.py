@@ -55,6 +55,19 @@ def p3_wide(spark: SparkSession, d: str) -> DataFrame:
     return wide.withColumn("failed", F.to_json(F.map_from_entries(F.array_sort(F.map_entries("failed")))))
 
 
+def _skeleton_sql(c: str) -> str:
+    blank = eav.MARKS + eav.BLANKS
+    return f"translate(replace(trim(regexp_replace(translate(lower({c}), '{blank}', '{' ' * len(blank)}'), ' {{2,}}', ' ', 'g')), 'rn', 'm'), '{eav.FROM}', '{eav.TO}')"
+
+
+@query(f"""WITH w AS (SELECT label_en AS w FROM form_attr UNION ALL SELECT label_de FROM form_attr UNION ALL SELECT replace(attr, '_', ' ') FROM form_attr
+UNION ALL SELECT unnest([{", ".join("'" + w.replace("'", "''") + "'" for ws in eav.WORDINGS.values() for w in ws)}]))
+SELECT k AS key, count(*) AS n FROM (SELECT {_skeleton_sql("key")} AS k FROM key_value WHERE key IS NOT NULL) WHERE k NOT IN (SELECT {_skeleton_sql("w")} FROM w WHERE w IS NOT NULL) GROUP BY 1""")
+def p3_unknown(spark: SparkSession, d: str) -> DataFrame:
+    """Keys that mean no attribute, and on how many rows."""
+    return eav.unknown_keys(table(spark, d, "key_value"), table(spark, d, "form_attr"))
+
+
 NUM = T.NUMBER
 _STRIP = r"regexp_replace({0}, '^\s+|\s+$', '', 'g')"
 

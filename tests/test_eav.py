@@ -61,3 +61,23 @@ def test_latest_readable_wins_and_failures_stay(spark):
 
 def test_empty(spark):
     assert found(spark, []) == set()
+
+
+def test_wordings_are_a_parameter_and_unknown_keys_are_told(spark):
+    import pytest
+
+    pairs = spark.createDataFrame([("f", 1, "Wt. (net)", "5", None, 1), ("f", 1, "colour", "red", None, 2), ("f", 1, "C0LOUR:", "red", None, 3), ("f", 1, None, "x", None, 4)], "form_id string, scan_id bigint, key string, value string, read_at timestamp, kv_id bigint")
+    attrs = spark.createDataFrame([("weight_kg", "decimal", "Weight", "Gewicht"), ("odd'name`x", "text", "Odd", None)], "attr string, dtype string, label_en string, label_de string")
+    assert {r.key: r.n for r in eav.unknown_keys(pairs, attrs, {"weight_kg": ["wt (net)"]}).collect()} == {eav.skeleton_of("colour"): 2}
+    wide = eav.pivot(pairs, attrs, typed=False, wordings={"weight_kg": ["wt (net)"]})
+    assert [tuple(r) for r in eav.found(wide, ["weight_kg", "odd'name`x"]).collect()] == [("f", "weight_kg", "5")]
+    with pytest.raises(ValueError, match="may mean"):
+        eav.wording_table(spark, [("a", "text", "Stand 1", None), ("b", "text", "Stand l", None)])
+
+
+def test_skeletons_of_driver_and_cluster_agree(spark):
+    from pyspark.sql import functions as F
+
+    words = [w for ws in eav.WORDINGS.values() for w in ws] + ["Inv. No.:", "T0tal —  Amount", "Rechn.-Datum", "fam|ly 589", "Ä_b\u00a0c"]
+    df = spark.createDataFrame([(w,) for w in words], "w string")
+    assert all(r.k == eav.skeleton_of(r.w) for r in df.select("w", eav.key_skeleton(F.col("w")).alias("k")).collect())
