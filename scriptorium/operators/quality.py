@@ -3,14 +3,40 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from scriptorium.functions.text import CONFUSABLE, NUMBER_TOKEN
 
 
+#: Lengths that share a bin when lines are matched.
+BIN = 8
+
+
 def best_line_match(truth: DataFrame, lines: DataFrame, keys: list[str]) -> DataFrame:
-    """Least edit distance of each truth line to a candidate of the same document (JOI14, STR4)."""
-    return truth.join(lines, keys).groupBy(*keys, "truth_id").agg(F.min(F.levenshtein("truth", "line")).alias("distance"))
+    """Least edit distance of each truth line to a candidate of the same document (JOI14, STR4), whole lines of any script.
+
+    Equal lines count once. The candidate next in length gives a bound; only candidates whose length is within it can be nearer,
+    and these are found by bins of length, so a long document's lines are not all compared with each other. Truth lines of a
+    document without candidates give no row; null lines are left out.
+    """
+    cand = lines.where("line is not null").select(*keys, "line").distinct().withColumn("_len", F.length("line"))
+    want = truth.where("truth is not null").select(*keys, "truth").distinct().withColumn("_len", F.length("truth"))
+    every = want.select(*keys, "_len", F.col("truth"), F.lit(None).cast("string").alias("line")).unionByName(cand.select(*keys, "_len", F.lit(None).cast("string").alias("truth"), "line"))
+    w = W.partitionBy(*keys).orderBy("_len", F.col("truth").isNotNull(), "line", "truth")
+    before = F.last("line", ignorenulls=True).over(w.rowsBetween(W.unboundedPreceding, 0))
+    after = F.first("line", ignorenulls=True).over(w.rowsBetween(0, W.unboundedFollowing))
+    near = every.withColumns({"_a": before, "_b": after}).where("truth is not null")
+    bound = F.least(F.levenshtein("truth", "_a"), F.levenshtein("truth", "_b"))
+    near = near.select(*keys, "truth", "_len", bound.alias("_most")).where("_most is not null")
+    reach = F.sequence(F.floor((F.col("_len") - F.col("_most")) / BIN), F.floor((F.col("_len") + F.col("_most")) / BIN))
+    probe = near.where("_most > 0").withColumn("_bin", F.explode(reach))
+    binned = cand.select(*keys, "line", F.col("_len").alias("_n"), F.floor(F.col("_len") / BIN).alias("_bin"))
+    pairs = probe.join(binned, [*keys, "_bin"]).where(F.abs(F.col("_len") - F.col("_n")) < F.col("_most"))
+    exact = F.min(F.when(F.levenshtein("truth", "line") < F.col("_most"), F.levenshtein("truth", "line")))
+    nearer = pairs.groupBy(*keys, "truth").agg(exact.alias("_d"))
+    best = near.join(nearer, [*keys, "truth"], "left").select(*keys, "truth", F.coalesce("_d", "_most").cast("int").alias("distance"))
+    return truth.join(best, [*keys, "truth"]).groupBy(*keys, "truth_id").agg(F.min("distance").alias("distance"))
 
 
 def number_recall(truth: DataFrame, read: DataFrame, keys: list[str]) -> DataFrame:
@@ -52,8 +78,6 @@ def fix_numeric_tokens(chars: DataFrame, keys: list[str]) -> DataFrame:
     """text of each line, look-alike letters in number-like tokens replaced by their digit runner-up (STR3). Rows: one glyph
     (pos, c, alt, alt_p); a token of at least two digits is mended if its other glyphs are at most a third of the digits (one
     at least), look like digits and have a digit as runner-up."""
-    from pyspark.sql import Window as W
-
     w = W.partitionBy(*keys).orderBy("pos")
     t = chars.withColumn("_tok", F.sum((F.col("c") == " ").cast("int")).over(w)).withColumn("_sp", F.col("c") == " ")
     odd = ~F.col("c").rlike(r"[\d.,/:\-$€£¥₹#%+]") & ~F.col("_sp")

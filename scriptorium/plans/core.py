@@ -424,20 +424,10 @@ def harmonize_codes(spark: SparkSession, d: str) -> DataFrame:
     return quality.harmonize(c, ["page"])
 
 
-_TRUTH = "truth AS (SELECT scan_id, block_id AS truth_id, left(ltext, 40) AS truth FROM lines WHERE line = 0 AND regexp_matches(ltext, '^[ -~]*$')), cand AS (SELECT scan_id, left(ltext, 40) AS line FROM lines WHERE line > 0 AND regexp_matches(ltext, '^[ -~]*$'))"
-
-
-@query(f"WITH {V.LINES}, {_TRUTH} SELECT scan_id, truth_id, CAST(min(levenshtein(truth, line)) AS INTEGER) AS distance FROM truth JOIN cand USING (scan_id) GROUP BY 1, 2")
-def best_line_match(spark: SparkSession, d: str) -> DataFrame:
-    """JOI14, STR4: first lines against the other lines of their scan; ASCII distances, 40 characters each."""
-    ln = V.lines(spark, d).where(F.col("ltext").rlike("^[ -~]*$"))
-    truth = ln.where("line = 0").selectExpr("scan_id", "block_id as truth_id", "left(ltext, 40) as truth")
-    return quality.best_line_match(truth, ln.where("line > 0").selectExpr("scan_id", "left(ltext, 40) as line"), ["scan_id"])
-
-
 @query()
-def best_line_match_whole(spark: SparkSession, d: str) -> DataFrame:
-    """JOI14, STR4: the same over whole lines of every script; distances in characters (DuckDB's are in bytes, hence no SQL)."""
+def best_line_match(spark: SparkSession, d: str) -> DataFrame:
+    """JOI14, STR4: first lines against the other lines of their scan, whole and of every script; distances in characters (DuckDB's
+    are in bytes, hence no SQL; held against plain loops in the tests)."""
     ln = V.lines(spark, d)
     truth = ln.where("line = 0").selectExpr("scan_id", "block_id as truth_id", "ltext as truth")
     return quality.best_line_match(truth, ln.where("line > 0").selectExpr("scan_id", "ltext as line"), ["scan_id"])
