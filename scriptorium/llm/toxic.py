@@ -7,8 +7,8 @@ persons are addressed or named near it (personal pronouns, words for people), al
 
 A bounded sample of the corpus's texts stands beside the labelled sentences as unlabelled: its sentences are O at first. Chains
 of the other folds then judge every labelled and unlabelled sentence: single labels clearly contradicted are left out, unlabelled
-sentences clearly toxic are adopted as T, doubtful ones left out, and those hardest to tell are added as O. How often a sentence
-stands in the corpus plays no part.
+sentences clearly toxic are adopted (their tokens from DOUBT on as T, the others as O: a sentence may run on into an innocent one),
+doubtful ones left out, and those hardest to tell are added as O. How often a sentence stands in the corpus plays no part.
 
 Forward-backward marginals give spans with offsets in the original text. A document's score is that of its strongest span;
 without a span the greatest marginal of its tokens, below THRESHOLD.
@@ -419,7 +419,7 @@ def fit(rows: list[tuple[str, int]], background: list[str] = (), usual: set[str]
         for i, a, b in zip(own, at, at[1:]):
             s, mean = free[i][0], float(p[a : b - 1].mean())
             if mean >= ADOPT and len(s) > 2:
-                adopted.append((s, 1, 2))
+                adopted.append((s, (p[a : b - 1] >= DOUBT).astype(int).tolist(), 2))
             elif mean < DOUBT:
                 if i in taken:
                     calm.append((s, 0, light))
@@ -428,15 +428,15 @@ def fit(rows: list[tuple[str, int]], background: list[str] = (), usual: set[str]
     return _ascend(kept + adopted + calm + hard, words, 2 * FOLDS, steps)
 
 
-def _ascend(pool: list[tuple[list[str], int, int]], words: Words, seed: int, steps: int) -> Chain:
-    """The chain of sentences, each with its label and weight. Tokens lie one after the other, longest sentence first, so that
-    the sentences that reach position t are the first ones."""
+def _ascend(pool: list[tuple[list[str], int | list[int], int]], words: Words, seed: int, steps: int) -> Chain:
+    """The chain of sentences, each with its label (or those of its tokens) and weight. Tokens lie one after the other, longest
+    sentence first, so that the sentences that reach position t are the first ones."""
     rng = np.random.default_rng(seed)
-    flat = [(s, [y] * len(s), float(n)) for s, y, n in pool]
-    heavy, share = [x for x in pool if x[2] > 1], np.array([x[2] for x in pool], float)
+    flat = [(s, y if isinstance(y, list) else [y] * len(s), float(n)) for s, y, n in pool]
+    heavy, share = [x for x in flat if x[2] > 1], np.array([x[2] for x in pool], float)
     for i, k in zip(rng.integers(len(heavy), size=JOINED), rng.choice(len(pool), JOINED, p=share / share.sum())):  # two without a mark in between
-        parts = [heavy[i], pool[k]][:: 1 if rng.random() < 0.5 else -1]
-        flat.append(([x for s, *_ in parts for x in s], [y for s, y, _ in parts for _ in s], 1.0))
+        parts = [heavy[i], flat[k]][:: 1 if rng.random() < 0.5 else -1]
+        flat.append(([x for s, *_ in parts for x in s], [v for _, lab, _ in parts for v in lab], 1.0))
     flat.sort(key=lambda x: -len(x[0]))
     lens = np.array([len(x[0]) for x in flat])
     start, total = np.concatenate([[0], np.cumsum(lens)[:-1]]), int(lens.sum())

@@ -79,6 +79,14 @@ def test_labelled_toxic_sentences_stay_when_they_repeat():
     assert toxic.fit(rows, background).spans("Only a moron would believe this crap.")
 
 
+def test_innocent_words_that_a_toxic_sentence_runs_on_into_stay():
+    rows = [(b.format(n), 1) for b in BAD for n in NOUNS] * 2 + [(g, 0) for g in GOOD] * 3
+    calm = [" ".join(x) for x in itertools.product(("copper", "zinc", "iron", "basalt", "quartz", "loam"), ("beds", "veins", "plates", "grains", "walls"), ("dry slowly", "bend", "shrink fast", "stay flat"))]
+    run_on = [f"{GOOD[i]} {BAD[i].format(NOUNS[i])} and {BAD[i + 1].format(NOUNS[i])} v2 added remark\n" for i in range(3)]
+    c = toxic.fit(rows, [". ".join(calm[i::30]) + "." for i in range(30)] + run_on)
+    assert not c.spans("% v2: added remark") and c.spans("go choke on your data, you moron")
+
+
 def brute(chain, words):
     """P(T) of each token by summing over all labellings."""
     e = [chain.bias + sum(chain.weights.get(f, 0.0) for f in fs) for fs in toxic.features(words, chain.words.usual)]
