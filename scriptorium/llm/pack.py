@@ -2,8 +2,8 @@
 
 Texts are packed where they are read: each task takes up to CHUNK texts at a time and fills containers from them, for every
 capacity. There is no shuffle and no group to be gathered, whatever the number of texts; at most a few containers per chunk
-stay underfull. The search moves items between underfull containers by one-for-one, two-for-one and one-for-two exchanges
-and plain moves that raise the sum of squared fills, until the emptiest containers are empty, nothing improves or its bounds are reached.
+stay underfull. The search moves items between underfull containers by exchanges of up to two items for up to two (none
+among them) that raise the sum of squared fills, until there is none left between any two containers of the chunk.
 """
 
 from __future__ import annotations
@@ -11,6 +11,7 @@ from __future__ import annotations
 from bisect import bisect_left, insort
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -19,10 +20,8 @@ from scriptorium.llm.tokens import VOCABULARY, count_tokens
 
 #: Texts packed together; the only state a task holds.
 CHUNK = 8_192
-#: Containers from which the search tries to take items, and rounds over them.
-DONORS, ROUNDS = 64, 4
-#: Items of either container that an exchange looks at: the donor's largest, the other's smallest.
-SIDE = 12
+#: More than any sum of sizes.
+GONE = 1 << 60
 
 
 def best_fit(sizes: list[int], capacity: int) -> list[list[int]]:
@@ -43,62 +42,99 @@ def best_fit(sizes: list[int], capacity: int) -> list[list[int]]:
 
 
 def improve(bins: list[list[int]], sizes: list[int], capacity: int) -> list[list[int]]:
-    """Local search on underfull containers. Every exchange moves tokens to a container at least as full, which raises the sum
-    of squared fills, so it ends. The search is bounded by DONORS, ROUNDS and SIDE; what it leaves out stays where best fit put it."""
-    fill = [sum(sizes[i] for i in b) for b in bins]
-    for _ in range(ROUNDS):
-        under = sorted((b for b in range(len(bins)) if 0 < fill[b] < capacity), key=lambda b: (fill[b], b))
+    """Local search to its end: when it returns, no exchange of at most two items for at most two between any two containers
+    raises the sum of squared fills. Every exchange made raises it, so the search ends.
+
+    A container that gives is held against all underfull ones at once: what each could give up stands in one log, and for
+    each entry the sum to be given that fills most of the gap is looked up. Changed containers write new entries at the log's end, so
+    that a container that found nothing reads on from there."""
+    bins = [list(b) for b in bins]
+    fill = np.array([sum(sizes[i] for i in b) for b in bins], np.int64)
+    total = np.empty(0, np.int64)  # the log: sum of the items, their container, the items; dead entries have sum GONE
+    owner, items, segment = np.empty(0, np.int64), [], {}
+    read, fresh = {}, []  # how far a container has read the log, containers whose entries are to be written
+    under = lambda: [b for b in np.lexsort((np.arange(len(bins)), fill)).tolist() if 0 < fill[b] < capacity]
+
+    def write() -> None:
+        nonlocal total, owner
+        sums, who = [], []
+        for b in dict.fromkeys(fresh):
+            read.pop(b, None)
+            if b in segment:
+                total[slice(*segment.pop(b))] = GONE
+            if 0 < fill[b] < capacity:
+                own = {0: ()} | _sums(bins[b], sizes)
+                segment[b] = (len(items), len(items) + len(own))
+                items.extend(own.values())
+                sums += own
+                who += [b] * len(own)
+        fresh.clear()
+        total, owner = np.append(total, np.array(sums, np.int64)), np.append(owner, np.array(who, np.int64))
+
+    def thin() -> None:
+        nonlocal total, owner, items
+        live = total != GONE
+        at = np.append(0, np.cumsum(live)).tolist()
+        items = [x for x, keep in zip(items, live.tolist()) if keep]
+        total, owner = total[live], owner[live]
+        for known in (segment, read):
+            known.update({b: (at[x[0]], at[x[1]]) if isinstance(x, tuple) else at[x] for b, x in known.items()})
+
+    fresh += under()
+    write()
+    changed = True
+    while changed:
         changed = False
-        for d in under[:DONORS]:
-            if not fill[d]:
-                continue
-            others = [b for b in under if b != d and fill[b] >= fill[d] and fill[b] < capacity]
-            for b in reversed(others):
-                while (x := _exchange(bins[d], bins[b], sizes, capacity - fill[b])) is not None:
-                    give, take = x
-                    moved = sum(sizes[i] for i in give) - sum(sizes[i] for i in take)
+        for d in under():
+            while 0 < fill[d] < capacity and read.get(d, 0) < len(items):
+                if len(items) > 1_000 and 2 * sum(hi - lo for lo, hi in segment.values()) < len(items):
+                    thin()
+                since = read.get(d, 0)
+                own = _sums(bins[d], sizes)
+                given = np.array([-GONE, *sorted(own)], np.int64)
+                f, t = fill[owner[since:]], total[since:]
+                moved = given[np.searchsorted(given, t + (capacity - f), side="right") - 1] - t
+                gain = moved * (f - fill[d] + moved)
+                found = np.flatnonzero((moved > 0) & (gain > 0) & (owner[since:] != d))
+                if not len(found):
+                    read[d] = len(items)
+                    break
+                left = set(bins[d])
+                for x in found[np.argsort(-gain[found], kind="stable")].tolist():
+                    b, m, take = int(owner[since + x]), int(moved[x]), items[since + x]
+                    give = own[int(t[x]) + m]
+                    if b in fresh or not left.issuperset(give):
+                        continue
+                    left.difference_update(give)
                     for i in give:
                         bins[d].remove(i)
                     for i in take:
                         bins[b].remove(i)
                     bins[d] += take
                     bins[b] += give
-                    fill[d] -= moved
-                    fill[b] += moved
-                    changed = True
-                    if not fill[d]:
+                    fill[d] -= m
+                    fill[b] += m
+                    fresh.append(b)
+                    if not left:
                         break
-                if not fill[d]:
-                    break
-        if not changed:
-            break
+                fresh.append(d)
+                write()
+                changed = True
     return [b for b in bins if b]
 
 
-def _exchange(donor: list[int], other: list[int], sizes: list[int], gap: int) -> tuple[list[int], list[int]] | None:
-    """Items (given by the donor, taken from the other) that move most tokens, at least one and at most gap, to the other."""
-    best, found = 0, None
-    if not gap or not donor:
-        return None
-    for i in donor:  # a move
-        if best < sizes[i] <= gap:
-            best, found = sizes[i], ([i], [])
-    ds, os = sorted(donor, key=lambda i: sizes[i])[-SIDE:], sorted(other, key=lambda i: sizes[i])[:SIDE]
-    for i in ds:  # one for one
-        for j in os:
-            if best < (m := sizes[i] - sizes[j]) <= gap:
-                best, found = m, ([i], [j])
-    for x, i in enumerate(ds):  # two of the donor's for one
-        for k in ds[:x]:
-            for j in os:
-                if best < (m := sizes[i] + sizes[k] - sizes[j]) <= gap:
-                    best, found = m, ([i, k], [j])
-    for i in ds:  # one of the donor's for two
-        for x, j in enumerate(os):
-            for k in os[:x]:
-                if best < (m := sizes[i] - sizes[j] - sizes[k]) <= gap:
-                    best, found = m, ([i], [j, k])
-    return found
+def _sums(items: list[int], sizes: list[int]) -> dict[int, tuple[int, ...]]:
+    """One or two of the items for each sum that they can have; items of one size are as good as each other."""
+    by: dict[int, list[int]] = {}
+    for i in items:
+        if len(same := by.setdefault(sizes[i], [])) < 2:
+            same.append(i)
+    out = {2 * n: tuple(same) for n, same in by.items() if len(same) == 2}
+    first = [(n, same[0]) for n, same in by.items()]
+    for x, (n, i) in enumerate(first):
+        for m, k in first[:x]:
+            out[n + m] = (i, k)
+    return out | {n: (i,) for n, i in first}
 
 
 def pack_sizes(sizes: list[int], capacity: int) -> list[list[tuple[int, int, int]]]:

@@ -1,3 +1,4 @@
+import itertools
 import random
 
 import pytest
@@ -25,6 +26,31 @@ def test_search_mends_a_bad_start():
     assert len(bins) == 2 and sorted(i for b in bins for i in b) == [0, 1, 2, 3, 4]
 
 
+def open_exchange(bins, sizes, capacity, most):
+    """An exchange of up to two items for up to two, `most` in all, that raises the sum of squared fills, by trying all."""
+    sums = [{(sum(c), len(c)) for n in (0, 1, 2) for c in itertools.combinations([sizes[i] for i in b], n)} for b in bins]
+    fill = [sum(sizes[i] for i in b) for b in bins]
+    under = [b for b in range(len(bins)) if fill[b] < capacity]
+    for d, b in itertools.permutations(under, 2):
+        for (give, n), (take, k) in itertools.product(sums[d], sums[b]):
+            m = give - take
+            if n + k <= most and 0 < m <= capacity - fill[b] and fill[b] - fill[d] + m > 0:
+                return bins[d], bins[b], give, take
+    return None
+
+
+@pytest.mark.parametrize("name", ["many containers", "many items", "random"])
+def test_search_leaves_no_exchange_open(name):
+    rng = random.Random(4)
+    sizes, capacity = {"many containers": ([rng.randrange(300, 420) for _ in range(200)] + [rng.randrange(60, 130) for _ in range(150)], 512), "many items": ([rng.randrange(3, 400, 7) for _ in range(300)], 6_000), "random": ([rng.randrange(1, 400) for _ in range(300)], 512)}[name]
+    start = [[i] for i in range(len(sizes))] if name != "many items" else [list(range(k, 300, 13)) for k in range(13)]
+    bins = pack.improve(start, sizes, capacity)
+    assert sorted(i for b in bins for i in b) == list(range(len(sizes))) and max(sum(sizes[i] for i in b) for b in bins) <= capacity
+    assert open_exchange(bins, sizes, capacity, 3) is None and open_exchange(bins, sizes, capacity, 4) is None
+    bins = pack.improve(pack.best_fit(sizes, capacity), sizes, capacity)
+    assert open_exchange(bins, sizes, capacity, 4) is None
+
+
 def test_pack_spark(spark):
     docs = spark.createDataFrame([(1, "word " * 1500, "x"), (2, "a b c", "x"), (2, "a b c", "x"), (3, "", "x"), (4, None, "x")], "doc_id bigint, text string, container string")
     specs = spark.createDataFrame([("s", 512), ("none", None), ("zero", 0)], "spec_name string, capacity_tokens int")
