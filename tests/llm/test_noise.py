@@ -1,3 +1,4 @@
+import pyarrow as pa
 import pytest
 
 from scriptorium.llm import noise
@@ -82,3 +83,74 @@ def test_rare_words_not_dominated_keep_their_counts(spark, monkeypatch):
     rows = noise.lexicon(noise.texts_of(b, spark.createDataFrame([], CELL)))
     lex = noise.Lexicon(rows)
     assert lex.counts["modem"] == 20 and lex.reading("modem") is None and lex.reading("modcrn") == "modern"
+
+
+def test_words_of_a_batch_are_read_once(monkeypatch):
+    """The cost of p4_found: equal words of a batch are looked at once, not in every text."""
+    lex = noise.Lexicon([(w, 500, w) for w in set(COMMON.split())])
+    read = []
+
+    class Counting:
+        def findall(self, text):
+            read.append(len(text))
+            return word.findall(text)
+
+    word = noise._WORD
+    monkeypatch.setattr(noise, "_WORD", Counting())
+    n = 1000
+    ints = pa.array([1] * n, pa.int32())
+    cols = {"src": pa.array(["block"] * n), "row_id": pa.array(range(n), pa.int64()), "text": pa.array([COMMON * 3] * n), "items": pa.nulls(n, pa.list_(pa.string())), "scan_id": pa.array([1] * n, pa.int64()), "page_number": ints, "block_pos": ints, "type": pa.array(["paragraph"] * n)}
+    noise.annotate_batch(pa.RecordBatch.from_pydict(cols), lex)
+    assert sum(read) <= len(COMMON)
+
+
+def test_texts_of_a_batch_as_one_by_one():
+    lex = noise.Lexicon([(w, 500, w) for w in ("foreman", "checked", "storage", "crates", "l'avion", "plan")])
+    texts = ["x", "", " ", "the foreman", "the\u00a0forernan\u00a0checked", "crat\x1ces", "storagc\tplan", "\ncrates\n", "l'avi0n", "storage-p1an", "(craies)", "fore-\nrnan", "stor¬ \nage", "about 12,4S0.70", "12.S", "B14 l2.5", "craίes", "ſtorage", "S69", "plan\u2028forernan", "crates|crates", "\U0001d7d9 storagc"]
+
+    def one(t):
+        flat = noise.joined(t, None, lex)
+        said = {lex.verdicts[w] for w in noise._WORD.findall(flat)}
+        return (noise.HYPHEN if len(flat) < len(t) else 0) | (noise.MISREAD if 1 in said or 2 in said and noise._FIGURE_IN_TEXT.search(flat) else 0)
+
+    want = [one(t) for t in texts]
+    assert sum(map(bool, want)) > 8 and noise.noise_of(pa.array(texts).slice(1), lex).tolist() == want[1:] and not len(noise.noise_of(pa.array([], pa.string()), lex))
+    assert noise.noise_of(pa.array(texts), lex, None, True).tolist() == [w | (noise.MISREAD if noise.figure_cell(t) else 0) for w, t in zip(want, texts)]
+
+
+def test_page_lines_begin_and_end_as_their_filter_says():
+    lines = [f"{a}{w}{b}{n}{c}" for a in ("", "- ", "[", "| ") for w in ("", "Page ", "Стр. ", "ſ ", "ı") for b in ("", "~") for n in ("12", "l2", "xii", "IO", "٣", "3 of 12", "3 из ıv") for c in ("", " -", ")", ".")]
+    hit = [x for x in lines if noise._PAGE_LINE.fullmatch(x)]
+    assert len(hit) > 100 and all(noise._STARTS[x[:1]] and noise._ENDS[x[-1:]] for x in hit)
+
+
+def test_items_and_their_positions():
+    lex = noise.Lexicon([("crates", 500, "crates")])
+    items = pa.array([None, ["x"], [], ["crates", None, "cratcs", ""], ["cratcs"]], pa.list_(pa.string())).slice(1)
+    none = pa.nulls(4, pa.int32())
+    b = pa.RecordBatch.from_pydict({"row_id": pa.array([5, 6, 7, 8], pa.int64()), "text": pa.array([""] * 4), "items": items, "scan_id": none, "page_number": none, "block_pos": none, "type": pa.array(["list"] * 4)})
+    notes = noise.annotate_batch(b, lex).to_pylist()
+    assert [(r["row_id"], r["item_pos"], r["bits"]) for r in notes] == [(7, 2, noise.MISREAD), (8, 0, noise.MISREAD)]
+
+
+def test_head_with_nothing_but_its_number_below(spark):
+    """A first block of head and page number has no line after its head; the carry goes there without a cut word."""
+    head = "Stock Sheet of the crates"
+    blocks = [(1, 1, 1, 0, "paragraph", "the foreman checked the dam-", None, "x"), (2, 1, 2, 0, "paragraph", f"{head}\n2", None, "x"), (3, 1, 3, 0, "paragraph", f"{head}\n3", None, "x")]
+    got = found(spark, blocks)
+    assert {("block", 2, -1, "header"), ("block", 2, -1, "page_no"), ("block", 1, -1, "carry"), ("block", 3, -1, "header")} <= got
+    assert ("block", 1, -1, "hyphen") not in got
+
+
+@pytest.mark.parametrize("one_line", [True, False])
+def test_carry_after_a_head_whose_other_pages_are_lost(spark, one_line):
+    head, rest = "Stock Sheet of the crates", "aged crates."
+    blocks = []
+    for scan in range(1, 4):
+        blocks += [(10 * scan + p, scan, p, 0, "heading", head, None, "x") for p in (2, 3)]
+    blocks.append((51, 5, 1, 0, "paragraph", "the foreman checked the dam-", None, "x"))
+    blocks += [(52, 5, 2, 0, "heading", head, None, "x"), (53, 5, 2, 1, "paragraph", rest, None, "x")] if one_line else [(52, 5, 2, 0, "paragraph", f"{head}\n{rest}", None, "x")]
+    got = {r for r in found(spark, blocks) if r[1] > 50 and r[1] < 1000}
+    assert got == {("block", 51, -1, "carry"), ("block", 51, -1, "hyphen"), ("block", 52, -1, "header")}
+    text = {r.row_id: r.text for r in noise.repair(*frames(spark, blocks)).where("src = 'block'").collect()}
+    assert text[51] == "the foreman checked the damaged crates."
